@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,9 +23,10 @@ def shared_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cut lineage through the shared folder, so that lost executors cost no recomputation."""
-    shared_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write a table to the shared folder and read it back, so that lost executors cost no recomputation."""
+    path = f"{shared_checkpoint_dir(df.sparkSession).rstrip('/')}/gridlore-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
