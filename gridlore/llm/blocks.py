@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridlore.llm.common import column_bytes, total_bytes
-from gridlore.llm.hashing import Texts, grams, inside, isin_sorted, leftmost_minimum
+from gridlore.llm.hashing import Texts, grams, inside, isin_sorted, leftmost_minimum, mix
 
 #: Octets of text a block holds on average, and the least number of blocks.
 BLOCK_BYTES = 3 << 20
@@ -92,7 +92,9 @@ def open_block(table: pa.Table, window: int, anchor: int, words: bool, by_id: bo
         wide, small = texts.windows(window, p), texts.windows(anchor, p)
     ends = np.where(known, last, first) if by_id else last
     valid = inside(ends, first, window, n)[: len(wide)]
-    return Block(block, ids, known, texts, first, last, wide, valid, small, leftmost_minimum(small, window - anchor + 1))
+    place = leftmost_minimum(small, window - anchor + 1)
+    small = mix(small)  # smallest hashes are small; mixed again, they fall evenly into buckets
+    return Block(block, ids, known, texts, first, last, wide, valid, small, place)
 
 
 def _bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
