@@ -7,14 +7,14 @@ own; blocks learn of each other's windows through a hash-partitioned index, in t
    `anchor` units in it. Equal windows have equal anchors, and neighbouring windows mostly share
    one, so the distinct anchors are a small part of the windows. Blocks send their distinct anchors;
    an index bucket answers which of them other blocks have too.
-2. Blocks send the 64-bit hash of one occurrence of each window whose anchor is shared, in runs. A
-   bucket binary-searches the merged sorted hashes and answers which windows also occur elsewhere
-   and in which smallest document.
+2. Blocks send one occurrence of each window whose anchor is shared, in runs with one anchor: the
+   anchor's 64-bit hash once, and 48 bits of each window's. A bucket sorts and merges both and answers
+   which windows also occur elsewhere and in which smallest document.
 
 Nothing is dropped, so the result does not depend on the number of blocks or buckets. A frequent
 window costs an entry a block, not one an occurrence: hot passages are aggregated before each
-shuffle. Different windows are taken for equal only if their 64-bit hashes collide (about n**2 /
-2**65 pairs of n shared windows).
+shuffle. Different windows are taken for equal only if they have one anchor and 48 bits collide, or if
+the 64-bit keys made of both do (about n**2 / 2**65 pairs of n shared windows).
 """
 
 from __future__ import annotations
@@ -27,15 +27,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridlore.llm.common import column_bytes, total_bytes
-from gridlore.llm.hashing import Texts, grams, inside, isin_sorted, leftmost_minimum, mix
+from gridlore.llm.hashing import BASE, Texts, grams, inside, isin_sorted, leftmost_minimum, mix
 
 #: Octets of text a block holds on average, and the least number of blocks.
-BLOCK_BYTES = 3 << 20
+BLOCK_BYTES = 2 << 20
 LEAST_BLOCKS = 48
 
 ANCHORS = "bucket int, block int, hashes binary"
 SHARED = "block int, hashes binary"
-ENTRIES = "bucket int, block int, here boolean, starts binary, sizes binary, docs binary, hashes binary"
+ENTRIES = "bucket int, block int, here boolean, starts binary, sizes binary, docs binary, anchors binary, hashes binary"
 HITS = "block int, starts binary, sizes binary, docs binary"
 
 
@@ -149,25 +149,28 @@ def split_runs(at: np.ndarray, *labels: np.ndarray) -> tuple[np.ndarray, np.ndar
     return begin, np.diff(np.append(begin, len(at)))
 
 
+_ENTRY = {"bucket": pa.int32(), "block": pa.int32(), "here": pa.bool_(), "starts": pa.binary(), "sizes": pa.binary(), "docs": pa.binary(), "anchors": pa.binary(), "hashes": pa.binary()}
+
+
 def send_windows(b: Block, at: np.ndarray, repeated: np.ndarray, sources: np.ndarray, buckets: int) -> pa.Table:
     """Index entries for the windows `at`; `repeated` windows of this block, settled here, go along, with their sources."""
     h = b.anchors[b.place[at]]
     bucket = _bucket(h, buckets)
     order = np.argsort(bucket * (1 << 32) + at)
     at, bucket = at[order], bucket[order]
-    doc = b.ids[b.doc_of(at)]
-    out: dict[str, list] = {k: [] for k in ("bucket", "block", "here", "starts", "sizes", "docs", "hashes")}
+    doc, anchor = b.ids[b.doc_of(at)], h[order]
+    out: dict[str, list] = {k: [] for k in _ENTRY}
 
-    def add(bucket, here, x, ids, hashes):
-        begin, size = split_runs(x, ids)
-        for k, v in zip(out, (bucket, b.block, here, x[begin].astype(np.uint32).tobytes(), size.astype(np.uint32).tobytes(), ids[begin].astype(np.int64).tobytes(), hashes), strict=True):
+    def add(bucket, here, x, ids, anchors, hashes):
+        begin, size = split_runs(x, ids, anchors)
+        for k, v in zip(out, (bucket, b.block, here, x[begin].astype(np.uint32).tobytes(), size.astype(np.uint32).tobytes(), ids[begin].astype(np.int64).tobytes(), anchors[begin].tobytes(), hashes), strict=True):
             out[k].append(v)
 
     for k, i, j in _parts(bucket):
-        add(k, False, at[i:j], doc[i:j], b.windows[at[i:j]].tobytes())
+        add(k, False, at[i:j], doc[i:j], anchor[i:j], b.windows[at[i:j]].view(np.uint8).reshape(-1, 8)[:, :6].tobytes())
     if len(repeated):
-        add(b.block % buckets, True, repeated, sources, b"")
-    return pa.table({k: pa.array(v, t) for (k, v), t in zip(out.items(), (pa.int32(), pa.int32(), pa.bool_(), pa.binary(), pa.binary(), pa.binary(), pa.binary()), strict=True)})
+        add(b.block % buckets, True, repeated, sources, np.zeros(len(repeated), np.uint64), b"")
+    return pa.table({k: pa.array(v, _ENTRY[k]) for k, v in out.items()})
 
 
 def answer_windows(table: pa.Table, earlier: bool) -> pa.Table:
@@ -184,7 +187,10 @@ def answer_windows(table: pa.Table, earlier: bool) -> pa.Table:
         size = [np.frombuffer(r["sizes"], np.uint32).astype(np.int64) for r in rows]
         docs = [np.repeat(np.frombuffer(r["docs"], np.int64), n) for r, n in zip(rows, size, strict=True)]
         at = [np.repeat(s - np.cumsum(n) + n, n) + np.arange(n.sum()) for s, n in zip(start, size, strict=True)]
-        h = np.concatenate([np.frombuffer(r["hashes"], np.uint64) for r in rows])
+        low = np.zeros((sum(map(len, at)), 8), np.uint8)
+        low[:, :6] = np.frombuffer(b"".join(r["hashes"] for r in rows), np.uint8).reshape(-1, 6)
+        anchor = np.concatenate([np.repeat(np.frombuffer(r["anchors"], np.uint64), n) for r, n in zip(rows, size, strict=True)])
+        h = mix(anchor * np.uint64(BASE) + low.view(np.uint64)[:, 0])
         doc = np.concatenate(docs)
         order = np.argsort(h)
         sorted_h = h[order]
@@ -232,7 +238,7 @@ def repeated_windows(docs: DataFrame, *, window: int, anchor: int, words: bool,
 
     def second(table, answers):
         if not table.num_rows:
-            return pa.table({k: pa.array([], t) for k, t in (("bucket", pa.int32()), ("block", pa.int32()), ("here", pa.bool_()), ("starts", pa.binary()), ("sizes", pa.binary()), ("docs", pa.binary()), ("hashes", pa.binary()))})
+            return pa.table({k: pa.array([], t) for k, t in _ENTRY.items()})
         b = open_block(table, window, anchor, words, earlier)
         return send_windows(b, *local(b, shared_windows(b, answers)), buckets)
 
