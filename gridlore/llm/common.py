@@ -33,6 +33,13 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def fresh(df: DataFrame, stem: str) -> str:
+    """A column name that the table does not have."""
+    while stem in df.columns:
+        stem += "_"
+    return stem
+
+
 def total_bytes(df: DataFrame, column: str = "text") -> int:
     """Octets of a text column over the whole table."""
     return df.agg(F.sum(F.octet_length(F.col(column)))).first()[0] or 0

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridlore.llm.common import total_bytes
+from gridlore.llm.common import fresh, total_bytes
 from gridlore.llm.hashing import Texts, grams, inside
 
 #: Octets of benchmark text that one scan carries.
@@ -198,5 +198,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, thre
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, threshold: float = THRESHOLD) -> DataFrame:
     """The documents that hold no item, with their columns."""
-    found = with_matches(docs, benchmark, "_matches", least, threshold)
-    return found.where(F.size("_matches") == 0).drop("_matches")
+    into = fresh(docs, "_matches")
+    found = with_matches(docs, benchmark, into, least, threshold)
+    return found.where(F.size(into) == 0).drop(into)
