@@ -92,6 +92,18 @@ def test_common_shingles_are_counted_exactly(spark):
     assert np.allclose(w[np.searchsorted(h, np.sort(want))], 1 + math.log(3))
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_joined_components_equal_those_of_all_links(spark, seed):
+    r = random.Random(seed)
+    links = [tuple(sorted(r.sample(range(60), 2))) for _ in range(45)] + [(i, i + 1) for i in range(70, 90)]
+    r.shuffle(links)
+    make = lambda rows: spark.createDataFrame([(b"%03d" % a, b"%03d" % b) for a, b in rows], "a binary, b binary")
+    pairs = lambda df: sorted((bytes(x.key), bytes(x.component)) for x in df.select("key", "component").collect())
+    got = near_dedup.joined(near_dedup.components(make(links[:30])), make(links[30:]))
+    assert pairs(got) == pairs(near_dedup.components(make(links)))
+    assert pairs(near_dedup.joined(got, make([]))) == pairs(got)
+
+
 def test_near_duplicates_of_nothing(spark):
     assert near_dedup.near_duplicates(frame(spark, [])).collect() == []
 
