@@ -53,14 +53,19 @@ def column_bytes(array) -> list[bytes]:
 
 
 def byte_chunks(batches, column: str, limit: int = 2 << 20):
-    """Yield (record batch slice, texts as bytes) of at most `limit` octets, one row at least; no text is cut."""
+    """Yield (record batch slice, texts as bytes) of at most `limit` octets, one row at least; no text is cut.
+
+    Only a slice's texts are copied out of the batch at a time."""
+    import pyarrow.compute as pc
+
     for batch in batches:
-        texts = column_bytes(batch.column(column))
         start, size = 0, 0
-        for i, x in enumerate(texts):
-            if i > start and size + len(x) > limit:
-                yield batch.slice(start, i - start), texts[start:i]
+        for i, n in enumerate(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()):
+            if i > start and size + n > limit:
+                part = batch.slice(start, i - start)
+                yield part, column_bytes(part.column(column))
                 start, size = i, 0
-            size += len(x)
-        if texts[start:]:
-            yield batch.slice(start), texts[start:]
+            size += n
+        if start < batch.num_rows:
+            part = batch.slice(start)
+            yield part, column_bytes(part.column(column))

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridlore.llm.common import fresh, total_bytes
+from gridlore.llm.common import byte_chunks, fresh, total_bytes
 from gridlore.llm.hashing import Texts, grams, inside
 
 #: Octets of benchmark text that one scan carries.
@@ -157,18 +157,9 @@ def matches(texts: list[str], index: Index, least: int, threshold: float) -> lis
 
 def _scan(docs: DataFrame, index: Index, into: str, least: int, threshold: float, chunk: int = 1 << 20) -> DataFrame:
     def work(batches):
-        for batch in batches:
-            texts = [x or "" for x in batch.column("text").to_pylist()]
-            found: list[list[dict]] = []
-            at = 0
-            while at < len(texts):
-                to, size = at, 0
-                while to < len(texts) and (to == at or size + len(texts[to]) <= chunk):
-                    size += len(texts[to])
-                    to += 1
-                found += matches(texts[at:to], index, least, threshold)
-                at = to
-            yield batch.append_column(into, pa.array(found, _MATCHES))
+        for part, texts in byte_chunks(batches, "text", chunk):
+            found = matches([x.decode() for x in texts], index, least, threshold)
+            yield part.append_column(into, pa.array(found, _MATCHES))
 
     schema = T.StructType([*docs.schema.fields, T.StructField(into, T._parse_datatype_string(f"array<{MATCH}>"))])
     return docs.mapInArrow(work, schema)

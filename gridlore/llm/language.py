@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gridlore.llm.common import byte_chunks
 from gridlore.llm.hashing import Texts
 
 #: Labelled rows that the model is fit on, about.
@@ -151,18 +152,9 @@ def identify(docs: DataFrame, model: Model, into: str = "language", chunk: int =
     kind = pa.struct([("lang_pred", pa.string()), ("score", pa.float64()), ("languages", pa.map_(pa.string(), pa.float64()))])
 
     def work(batches):
-        for batch in batches:
-            texts = [x or "" for x in batch.column("text").to_pylist()]
-            found: list[tuple] = []
-            at = 0
-            while at < len(texts):
-                to, size = at, 0
-                while to < len(texts) and (to == at or size + len(texts[to]) <= chunk):
-                    size += len(texts[to])
-                    to += 1
-                found += infer(texts[at:to], model)
-                at = to
-            yield batch.append_column(into, pa.array([{"lang_pred": a, "score": s, "languages": list(m.items())} for a, s, m in found], kind))
+        for part, texts in byte_chunks(batches, "text", chunk):
+            found = infer([x.decode() for x in texts], model)
+            yield part.append_column(into, pa.array([{"lang_pred": a, "score": s, "languages": list(m.items())} for a, s, m in found], kind))
 
     kept = docs.drop(into)
     schema = T.StructType([*kept.schema.fields, T.StructField(into, T._parse_datatype_string(RESULT))])

@@ -32,6 +32,8 @@ END_ID = 50256
 ROW = 2048
 #: Octets of text that are packed together.
 CHUNK = 4 << 20
+#: Octets of text that are tokenised at once; of a chunk only the ids are kept.
+AT_ONCE = 1 << 20
 #: Known pieces that a worker keeps.
 KNOWN = 1 << 18
 
@@ -57,7 +59,7 @@ class Encoder:
         import tiktoken
 
         self.bpe = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self.known: dict[bytes, np.ndarray] = {}
+        self.known: dict[bytes, bytes] = {}
         safe = np.ones(256, bool)
         safe[[*range(9, 14), *range(28, 33), 0xC2, 0xE1, 0xE2, 0xE3]] = False
         self.safe = safe
@@ -91,20 +93,46 @@ class Encoder:
             piece = raw[a:b]
             ids = self.known.get(piece)
             if ids is None:
-                ids = np.array(self.bpe.encode_ordinary(piece.decode()), np.int32)
+                ids = np.array(self.bpe.encode_ordinary(piece.decode()), np.int32).tobytes()
                 if b - a <= 64:
                     self.known[piece] = ids
             got.append(ids)
         if not got:
             return np.zeros(0, np.int32), np.zeros(len(texts.docs) + 1, np.int64)
-        size = np.array([len(x) for x in got])
-        flat, offset = np.concatenate(got), np.cumsum(size) - size
+        size = np.array([len(x) // 4 for x in got])
+        flat, offset = np.frombuffer(b"".join(got), np.int32), np.cumsum(size) - size
         n = size[back]
         stop = np.cumsum(n)
         ids = flat[np.repeat(offset[back] - (stop - n), n) + np.arange(stop[-1])]
         per_doc = np.bincount(doc, n, minlength=len(texts.docs)).astype(np.int64)
         return ids, np.concatenate(([0], np.cumsum(per_doc)))
 
+    def parts(self, text: bytes, limit: int) -> list[bytes]:
+        """A text cut where its tokens are not changed, into parts of about `limit` octets (longer ones where it cannot be cut)."""
+        out, at, reach = [], 0, limit
+        while len(text) - at > reach:
+            seen = np.frombuffer(text, np.uint8, reach + 1, at)
+            free = np.flatnonzero((seen[1:-1] == 32) & self.safe[seen[2:]])
+            if len(free):
+                to = at + 1 + int(free[-1])
+                out.append(text[at:to])
+                at, reach = to, limit
+            else:
+                reach *= 2
+        return [*out, text[at:]]
+
+    def encode_each(self, texts: list[bytes], limit: int) -> tuple[np.ndarray, np.ndarray]:
+        """As `encode`, with working memory in proportion to `limit` and not to the longest text."""
+        if all(len(x) <= limit for x in texts):
+            return self.encode(Texts(texts))
+        ids, size = [], np.zeros(len(texts), np.int64)
+        for d, x in enumerate(texts):
+            for part in self.parts(x, limit):
+                got, _ = self.encode(Texts([part]))
+                ids.append(got)
+                size[d] += len(got)
+        return np.concatenate(ids), np.concatenate(([0], np.cumsum(size)))
+
 
 class Room:
     """A segment tree over capacities 0..size: how many rows have exactly so much room, and which."""
@@ -187,11 +215,8 @@ def pack_documents(docs: DataFrame, ranks: dict[bytes, int] | None = None, row:
     kind = "<u2" if max(end_id, pad_id, max(ranks.values(), default=0)) < 1 << 16 else "<u4"
     shared = docs.sparkSession.sparkContext.broadcast(ranks)
 
-    def rows(encoder, ids_, texts, number):
-        ids, first = encoder.encode(Texts(texts))
-        ids = np.insert(ids, first[1:], end_id)
-        first = first + np.arange(len(first))
-        matrix, segments = pack(ids, first, row, pad_id)
+    def rows(ids_, tokens, sizes, number):
+        matrix, segments = pack(np.concatenate(tokens), np.concatenate(([0], np.cumsum(np.concatenate(sizes)))), row, pad_id)
         matrix = matrix.astype(kind)
         for k in range(0, len(segments), 256):
             part = segments[k : k + 256]
@@ -212,20 +237,20 @@ def pack_documents(docs: DataFrame, ranks: dict[bytes, int] | None = None, row:
             _encoders[key] = Encoder(shared.value)
         encoder = _encoders[key]
         number = TaskContext.get().partitionId() << 40
-        ids_: list = []
-        texts: list[bytes] = []
-        size = 0
-        for part, more in byte_chunks(batches, "text", chunk):
+        ids_, tokens, sizes, size = [], [], [], 0
+        for part, texts in byte_chunks(batches, "text", min(chunk, AT_ONCE)):
+            ids, first = encoder.encode_each(texts, AT_ONCE)
             ids_ += part.column("doc_id").cast(pa.int64()).to_pylist()
-            texts += more
-            size += sum(map(len, more)) + len(more)
+            tokens.append(np.insert(ids, first[1:], end_id))
+            sizes.append(np.diff(first) + 1)
+            size += sum(map(len, texts)) + len(texts)
             if size >= chunk:
-                for out in rows(encoder, ids_, texts, number):
+                for out in rows(ids_, tokens, sizes, number):
                     yield out
                     number += out.num_rows
-                ids_, texts, size = [], [], 0
-        if texts:
-            for out in rows(encoder, ids_, texts, number):
+                ids_, tokens, sizes, size = [], [], [], 0
+        if ids_:
+            for out in rows(ids_, tokens, sizes, number):
                 yield out
                 number += out.num_rows
 

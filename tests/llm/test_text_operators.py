@@ -304,6 +304,17 @@ def test_encoder_equals_whole_texts():
         assert ids[a:b].tolist() == encoder.bpe.encode_ordinary(t)
 
 
+def test_encoder_cuts_long_texts():
+    encoder = packing.Encoder(packing.read_ranks())
+    r = random.Random(3)
+    texts = ["".join(r.choice(["word ", " ", "\n", " \u3000", "x" * 90, "ünï ", "it's ", " 12", "\t "]) for _ in range(r.randrange(200))) for _ in range(30)] + ["", "y" * 500]
+    for limit in (16, 64, 1 << 20):
+        ids, first = encoder.encode_each([t.encode() for t in texts], limit)
+        for t, a, b in zip(texts, first[:-1], first[1:], strict=True):
+            assert ids[a:b].tolist() == encoder.bpe.encode_ordinary(t)
+            assert b"".join(encoder.parts(t.encode(), limit)) == t.encode()
+
+
 def test_packed_rows_hold_all_documents(spark):
     docs = spark.read.parquet(f"{DIR}/documents.parquet").select("doc_id", "text").unionByName(frame(spark, ODD).select("doc_id", "text"))
     encoder = packing.Encoder(packing.read_ranks())
