@@ -31,6 +31,21 @@ def split_by_normal(vertices: DataFrame, faces: DataFrame, least: float = 0.1) -
     return normals(vertices, faces).select("object", "fid", F.when(F.col("nz") > least, "surface").otherwise("wall").alias("part"))
 
 
+def extrude(footprints: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Vertices and faces of solids over counter-clockwise rings (object, ring, low, high): caps as fans around the
+    first point, two wall faces an edge. The ring's last point repeats its first; holes are not cut; rings of
+    fewer than three different points give nothing."""
+    x = footprints.withColumn("n", F.size("ring") - 1).where("n >= 3")
+    point = lambda z, base: F.transform(F.slice("ring", F.lit(1), F.col("n")), lambda p, i: F.struct((i + base).cast("long").alias("vid"), p["x"].cast("double").alias("x"), p["y"].cast("double").alias("y"), F.col(z).cast("double").alias("z")))
+    vertices = x.select("object", F.explode(F.concat(point("low", F.lit(0)), point("high", F.col("n")))).alias("v")).select("object", "v.*")
+    face = lambda a, b, c: F.struct(*(v.cast("long").alias(f"v{k}") for k, v in ((1, a), (2, b), (3, c))))
+    n, first = F.col("n"), F.lit(0)
+    caps = F.transform(F.sequence(F.lit(1), n - 2), lambda i: F.array(face(first, i + 1, i), face(n, n + i, n + i + 1)))
+    walls = F.transform(F.sequence(first, n - 1), lambda i: F.array(face(i, (i + 1) % n, n + i), face((i + 1) % n, n + (i + 1) % n, n + i)))
+    faces = x.select("object", F.posexplode(F.flatten(F.concat(caps, walls))).alias("fid", "f"))
+    return vertices, faces.select("object", F.col("fid").cast("long").alias("fid"), "f.*")
+
+
 RULES = (
     ("V1", "model side", "warning"), ("V2", "both terrain objects", "error"), ("V3", "terrain relief", "warning"), ("V4", "buildings below the highest ground", "error"),
     ("V5", "building embedding", "warning"), ("V6", "road faces up", "warning"), ("V7", "road relief", "warning"), ("V8", "water depth", "error"),

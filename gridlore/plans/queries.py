@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridlore import profiles as P
+from gridlore.functions import crs
 from gridlore.functions import geometry as G
 from gridlore.functions import scalars as S
+from gridlore.functions.simplify import simplify
 from gridlore.operators import assemble, mesh, raster, spatial, tiles
 from gridlore.operators import features as X
 from gridlore.plans import fixtures as fx
@@ -495,3 +497,42 @@ def text_scalars(spark, d):
 def seeded_sample(spark, d):
     """5000 roads in a seeded order (a sampling operator)."""
     return X.seeded_sample(_roads(spark, d).select("way"), "way", 5000)
+
+
+def _krueger_sql() -> str:
+    """The projection of `city` as text; rounded to a millimetre."""
+    east = " + ".join(f"{a!r} * cos({2 * j} * xi) * sinh({2 * j} * eta)" for j, a in enumerate(crs.FORWARD, 1))
+    north = " + ".join(f"{a!r} * sin({2 * j} * xi) * cosh({2 * j} * eta)" for j, a in enumerate(crs.FORWARD, 1))
+    e = repr(crs.ECCENTRICITY)
+    return with_sql("city") + f""", z AS (SELECT city, lat / 1000000.0::DOUBLE AS lat, lon / 1000000.0::DOUBLE AS lon, (floor((lon / 1000000.0 + 180) / 6) + 1)::INTEGER AS zone FROM city),
+    t AS (SELECT *, radians(lon - (zone * 6 - 183)) AS lam, sinh(atanh(sin(radians(lat))) - {e}::DOUBLE * atanh({e}::DOUBLE * sin(radians(lat)))) AS t FROM z),
+    x AS (SELECT *, atan2(t, cos(lam)) AS xi, atanh(sin(lam) / sqrt(1 + t * t)) AS eta FROM t)
+    SELECT city, zone, round({crs.FALSE_EAST!r} + {crs.ARC!r}::DOUBLE * (eta + {east}), 3) AS east, round({crs.ARC!r}::DOUBLE * (xi + {north}), 3) AS north, round(lat, 9) AS lat, round(lon, 9) AS lon FROM x"""
+
+
+@query(_krueger_sql())
+def project_utm(spark, d):
+    """Cities in their zone's grid, and back again."""
+    lat, lon = (F.col(c) / 1_000_000 for c in ("lat", "lon"))
+    zone = S.utm_zone(lon)
+    east, north = crs.to_utm(lat, lon, zone)
+    x = fx.cities(spark, d).select("city", zone.alias("zone"), east.alias("east"), north.alias("north"))
+    back = crs.from_utm(F.col("east"), F.col("north"), F.col("zone"), F.lit(False))
+    return x.select("city", "zone", F.round("east", 3).alias("east"), F.round("north", 3).alias("north"), F.round(back[0], 9).alias("lat"), F.round(back[1], 9).alias("lon"))
+
+
+@query(with_sql("feat") + " SELECT seq::VARCHAR AS object, 12::BIGINT AS faces, ((xmax - xmin) * (ymax - ymin) * (3 + seq % 7))::DOUBLE AS volume, 0::BIGINT AS degenerate, 0::BIGINT AS open_edges FROM feat WHERE type = 'STANDARD'")
+def extrude_footprint(spark, d):
+    """Buildings as solids: faces, volume, and that each solid is closed."""
+    corner = lambda x, y: F.struct(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+    ring = F.array(corner("xmin", "ymin"), corner("xmax", "ymin"), corner("xmax", "ymax"), corner("xmin", "ymax"), corner("xmin", "ymin"))
+    x = fx.features(spark, d).where(S.tag_filter(F.col("tags"), P.LAYERS["buildings"]))
+    solids = mesh.extrude(x.select(F.col("seq").cast("string").alias("object"), ring.alias("ring"), F.lit(0.0).alias("low"), (3 + F.col("seq") % 7).cast("double").alias("high")))
+    return mesh.report(*solids).withColumn("volume", F.round("volume", 6))
+
+
+@query()
+def simplify_dp(spark, d):
+    """Ways with the points that lie farther than 5 from the simpler line."""
+    w = assemble.ways(fx.nodes(spark, d)).withColumn("simple", simplify(F.col("points"), 5.0))
+    return w.select("way", F.size("points").cast("long").alias("points"), F.size("simple").cast("long").alias("left"), F.round(G.line_length(F.col("simple")), 6).alias("length"))

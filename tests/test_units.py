@@ -106,3 +106,55 @@ def test_3mf_round_trip(spark, tmp_path):
     threemf.write_3mf(v, f, path)
     v2, f2 = threemf.read_3mf(spark, path)
     assert sorted(v2.collect()) == sorted(v.collect()) and sorted(f2.collect()) == sorted(f.collect())
+
+
+def test_utm_known_values_and_back(spark):
+    from gridlore.functions import crs
+
+    places = [(0.0, 123.0), (45.0, 123.0), (30.25, 120.15), (-33.9, 121.5), (60.0, 125.9)]
+    df = spark.createDataFrame(places, "lat double, lon double").withColumn("zone", F.lit(51))
+    east, north = crs.to_utm(F.col("lat"), F.col("lon"), F.col("zone"))
+    df = df.withColumn("east", east).withColumn("north", north)
+    lat, lon = crs.from_utm(F.col("east"), F.col("north"), F.col("zone"), F.col("lat") < 0)
+    rows = df.withColumn("lat2", lat).withColumn("lon2", lon).collect()
+    assert (rows[0].east, rows[0].north) == (500000.0, 0.0)
+    assert abs(rows[1].north - 0.9996 * 4984944.378) < 0.01 and abs(rows[1].east - 500000) < 1e-6  # the meridian's arc to 45 degrees
+    for r in rows:
+        assert abs(r.lat - r.lat2) < 1e-9 and abs(r.lon - r.lon2) < 1e-9
+
+
+def test_simplify_equals_recursion(spark):
+    import random
+
+    from gridlore.functions.simplify import simplify
+
+    def far(p, a, b):
+        dx, dy = b[0] - a[0], b[1] - a[1]
+        n = dx * dx + dy * dy
+        t = min(1, max(0, ((p[0] - a[0]) * dx + (p[1] - a[1]) * dy) / n)) if n else 0
+        return ((p[0] - a[0] - t * dx) ** 2 + (p[1] - a[1] - t * dy) ** 2) ** 0.5
+
+    def plain(p, tol):
+        if len(p) < 3:
+            return p
+        k = max(range(1, len(p) - 1), key=lambda i: far(p[i], p[0], p[-1]))
+        return plain(p[: k + 1], tol)[:-1] + plain(p[k:], tol) if far(p[k], p[0], p[-1]) > tol else [p[0], p[-1]]
+
+    r = random.Random(4)
+    lines = [[(r.random() * 9, r.random() * 9) for _ in range(r.randrange(2, 25))] for _ in range(40)] + [[], [(1.0, 1.0)], [(0.0, 0.0), (1.0, 0.1), (2.0, 0.0)]]
+    square = [(0.0, 0.0), (0.1, 0.0), (0.1, 0.1), (0.0, 0.0)]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate([*lines, square, None])], "i int, p array<struct<x:double,y:double>>")
+    got = {i: x if x is None else [tuple(q) for q in x] for i, x in df.select("i", simplify(F.col("p"), 1.5)).collect()}
+    assert got[len(lines)] == square and got[len(lines) + 1] is None
+    for i, x in enumerate(lines):
+        assert got[i] == plain(x, 1.5)
+
+
+def test_extruded_solid_is_closed(spark):
+    from gridlore.operators import mesh
+
+    ring = [(0.0, 0.0), (4.0, 0.0), (5.0, 2.0), (2.0, 4.0), (0.0, 3.0), (0.0, 0.0)]
+    df = spark.createDataFrame([("a", ring, 1.0, 3.0), ("b", ring[:2], 0.0, 1.0), ("c", [], 0.0, 1.0)], "object string, ring array<struct<x:double,y:double>>, low double, high double")
+    (r,) = mesh.report(*mesh.extrude(df)).collect()
+    area = abs(sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(ring, ring[1:]))) / 2
+    assert (r.object, r.faces, r.degenerate, r.open_edges) == ("a", 16, 0, 0) and abs(r.volume - 2 * area) < 1e-9
