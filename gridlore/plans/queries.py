@@ -10,7 +10,7 @@ from gridlore.functions import crs
 from gridlore.functions import geometry as G
 from gridlore.functions import scalars as S
 from gridlore.functions.simplify import simplify
-from gridlore.operators import assemble, mesh, raster, spatial, tiles
+from gridlore.operators import assemble, mesh, raster, ribbon, spatial, tiles
 from gridlore.operators import features as X
 from gridlore.plans import fixtures as fx
 from gridlore.plans.fixtures import with_sql
@@ -536,3 +536,36 @@ def simplify_dp(spark, d):
     """Ways with the points that lie farther than 5 from the simpler line."""
     w = assemble.ways(fx.nodes(spark, d)).withColumn("simple", simplify(F.col("points"), 5.0))
     return w.select("way", F.size("points").cast("long").alias("points"), F.size("simple").cast("long").alias("left"), F.round(G.line_length(F.col("simple")), 6).alias("length"))
+
+
+def _edge_sums(edges: DataFrame) -> DataFrame:
+    total = lambda c: F.round(F.sum(c), 4).alias(c)
+    return edges.groupBy("way").agg(F.count(F.lit(1)).alias("points"), *(total(c) for c in ("lx", "ly", "rx", "ry")))
+
+
+SUMS_SQL = "SELECT way, count(*) AS points, round(sum(x + 4 * ox), 4) AS lx, round(sum(y + 4 * oy), 4) AS ly, round(sum(x - 4 * ox), 4) AS rx, round(sum(y - 4 * oy), 4) AS ry FROM o GROUP BY way"
+
+
+@query(with_sql("nodes") + f""", s AS (SELECT *, count(*) OVER (PARTITION BY way) AS n, (coalesce(lead(x) OVER w, x) - coalesce(lag(x) OVER w, x))::DOUBLE AS dx, (coalesce(lead(y) OVER w, y) - coalesce(lag(y) OVER w, y))::DOUBLE AS dy FROM nodes WINDOW w AS (PARTITION BY way ORDER BY pos)),
+    u AS (SELECT *, CASE WHEN dx <> 0 OR dy <> 0 THEN -dy / sqrt(dx * dx + dy * dy) END AS ux, CASE WHEN dx <> 0 OR dy <> 0 THEN dx / sqrt(dx * dx + dy * dy) END AS uy FROM s WHERE n >= 2),
+    o AS (SELECT way, x, y, coalesce(last_value(ux IGNORE NULLS) OVER w, 0) AS ox, coalesce(last_value(uy IGNORE NULLS) OVER w, 1) AS oy FROM u WINDOW w AS (PARTITION BY way ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+    {SUMS_SQL}""")
+def ribbon_central(spark, d):
+    return _edge_sums(ribbon.central_edges(fx.nodes(spark, d), 4.0))
+
+
+@query(with_sql("nodes") + f""", b AS (SELECT *, lag(x) OVER w AS bx, lag(y) OVER w AS ay FROM nodes WINDOW w AS (PARTITION BY way ORDER BY pos)),
+    k AS (SELECT way, pos, x, y, lag(x) OVER w AS bx, lag(y) OVER w AS by_ FROM (SELECT * FROM b WHERE bx IS NULL OR x <> bx OR y <> ay) WINDOW w AS (PARTITION BY way ORDER BY pos)),
+    v AS (SELECT *, -(y - by_) / sqrt(((x - bx) * (x - bx) + (y - by_) * (y - by_))::DOUBLE) AS px, (x - bx) / sqrt(((x - bx) * (x - bx) + (y - by_) * (y - by_))::DOUBLE) AS py FROM k),
+    q AS (SELECT *, lead(px) OVER w AS qx, lead(py) OVER w AS qy FROM v WINDOW w AS (PARTITION BY way ORDER BY pos)),
+    o AS (SELECT way, x, y, CASE WHEN px IS NULL THEN qx WHEN qx IS NULL OR px * qx + py * qy <= -0.5 THEN px ELSE (px + qx) / (1 + px * qx + py * qy) END AS ox,
+                 CASE WHEN py IS NULL THEN qy WHEN qy IS NULL OR px * qx + py * qy <= -0.5 THEN py ELSE (py + qy) / (1 + px * qx + py * qy) END AS oy FROM q WHERE px IS NOT NULL OR qx IS NOT NULL)
+    {SUMS_SQL}""")
+def ribbon_mitred(spark, d):
+    return _edge_sums(ribbon.mitred_edges(fx.nodes(spark, d), 4.0))
+
+
+@query(with_sql("nodes") + " SELECT way::VARCHAR AS object, (8 * (count(*) - 1) + 4)::BIGINT AS faces, 0::BIGINT AS open_edges FROM nodes GROUP BY way HAVING count(*) >= 2")
+def ribbon_box(spark, d):
+    """Closed road solids: faces, and edges that are not shared by two faces."""
+    return mesh.report(*ribbon.box(ribbon.central_edges(fx.nodes(spark, d), 4.0), 0.51, 0.4)).select("object", "faces", "open_edges")

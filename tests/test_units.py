@@ -158,3 +158,17 @@ def test_extruded_solid_is_closed(spark):
     (r,) = mesh.report(*mesh.extrude(df)).collect()
     area = abs(sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(ring, ring[1:]))) / 2
     assert (r.object, r.faces, r.degenerate, r.open_edges) == ("a", 16, 0, 0) and abs(r.volume - 2 * area) < 1e-9
+
+
+def test_ribbon_keeps_its_width(spark):
+    from gridlore.operators import ribbon
+
+    line = [(1, 0, 0.0, 0.0), (1, 1, 10.0, 0.0), (1, 2, 10.0, 10.0), (2, 0, 0.0, 0.0), (3, 0, 0.0, 0.0), (3, 1, 5.0, 0.0)]
+    df = spark.createDataFrame(line, "way long, pos long, x double, y double")
+    edges = {(r.way, r.pos): r for r in ribbon.mitred_edges(df, 2.0).collect()}
+    assert set(edges) == {(1, 0), (1, 1), (1, 2), (3, 0), (3, 1)}
+    corner = edges[1, 1]
+    assert [round(v, 9) for v in (corner.lx, corner.ly, corner.rx, corner.ry)] == [8.0, 2.0, 12.0, -2.0]
+    solids = {r.object: r for r in mesh.report(*ribbon.box(ribbon.mitred_edges(df, 2.0), 1.0, 0.5)).collect()}
+    assert set(solids) == {"1", "3"} and all(r.open_edges == 0 and r.degenerate == 0 for r in solids.values())
+    assert abs(solids["3"].volume - 5 * 4 * 0.5) < 1e-9 and solids["1"].faces == 20 and abs(solids["1"].volume - 20 * 4 * 0.5) < 1e-9
