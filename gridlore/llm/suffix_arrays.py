@@ -23,11 +23,13 @@ from gridlore.llm.hashing import Texts, cover, runs
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
 
 
-def suffix_array(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Suffixes in order of their first `depth` bytes at least, and each one's rank.
+def suffix_array(text: np.ndarray, depth: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Suffixes in order, and each one's rank; with `depth`, in order of their first `depth` bytes at least.
 
     Larsson-Sadakane: suffixes are sorted by eight bytes; then groups that still are equal are sorted
-    by the group of the suffix h bytes on, with h doubling; groups of one are never touched again.
+    by the group of the suffix h bytes on, with h doubling; groups of one are never touched again. Of
+    those equal to the text's end the shorter comes first. `common_prefixes` needs the whole order: with
+    ties left at a depth, the suffixes one byte on need not be neighbours in the same way.
     """
     n = len(text)
     padded = np.concatenate((text, np.zeros(8, np.uint8)))
@@ -42,14 +44,14 @@ def suffix_array(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     rank = np.empty(n, np.int64)
     rank[sa] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
     h = 8
-    while h < depth:
+    while depth is None or h < depth:
         alone = new & np.append(new[1:], True)
         at = np.flatnonzero(~alone)
         if not len(at):
             break
         s = sa[at]
-        on = np.where(s + h < n, rank[np.minimum(s + h, n - 1)] + 1, 0)
-        pair = rank[s] * (n + 1) + on
+        on = np.where(s + h < n, rank[np.minimum(s + h, n - 1)] + h + 1, n - s)
+        pair = rank[s] * (n + h + 1) + on
         order = np.argsort(pair)
         s, pair = s[order], pair[order]
         sa[at] = s
@@ -108,7 +110,7 @@ def repeated_in_shard(b: Block, shared: np.ndarray, window: int) -> tuple[np.nda
         return none, none, none
     held = np.flatnonzero(cover(wanted, wanted + window, len(b.texts.buf)))
     text = b.texts.buf[held]
-    sa, rank = suffix_array(text, window)
+    sa, rank = suffix_array(text)
     prefix = common_prefixes(text, sa, rank, window)
     starts = np.zeros(len(held), bool)
     starts[np.searchsorted(held, wanted)] = True

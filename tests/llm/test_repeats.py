@@ -1,14 +1,16 @@
 import hashlib
 import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
+from gridlore.llm.blocks import open_block
 from gridlore.llm.hashing import leftmost_minimum
 from gridlore.llm.substring_dedup import substring_dedup
-from gridlore.llm.suffix_arrays import common_prefixes, suffix_array, suffix_array_dedup
+from gridlore.llm.suffix_arrays import common_prefixes, repeated_in_shard, suffix_array, suffix_array_dedup
 
 SCHEMA = "doc_id long, text string, block string, bucket long"
 WORD = re.compile(rb"[^\x20\x09-\x0d]+")
@@ -111,6 +113,27 @@ def test_suffix_array_and_prefixes():
         assert prefix[sa[k]] == min(n, 250)
 
 
+def test_long_copies_in_a_large_block():
+    r = np.random.default_rng(1)
+    some = lambda least, most: r.integers(97, 101, int(r.integers(least, most))).astype(np.uint8).tobytes().decode()
+    passages = [some(400, 2000) for _ in range(40)]
+    texts = ["".join(some(100, 900) + passages[r.integers(40)] for _ in range(2)) + some(100, 900) for _ in range(320)]
+    table = pa.table({"doc_id": pa.array(range(len(texts)), pa.int64()), "text": pa.array(texts), "block": pa.array([0] * len(texts), pa.int32())})
+    b = open_block(table, 200, 64, False, False)
+    raw, at = b.texts.buf.tobytes(), np.flatnonzero(b.valid).tolist()
+    assert len(raw) > 1 << 20
+    count = Counter(raw[i : i + 200] for i in at)
+    _, again, _ = repeated_in_shard(b, np.zeros(len(b.valid), bool), 200)
+    assert again.tolist() == [i for i in at if count[raw[i : i + 200]] > 1]
+
+
+def test_suffix_array_orders_zero_bytes_at_the_end():
+    raw = b"a\0\0" * 9 + b"\0" * 20
+    sa, rank = suffix_array(np.frombuffer(raw, np.uint8))
+    assert sa.tolist() == sorted(range(len(raw)), key=lambda i: raw[i:])
+    assert rank[sa].tolist() == list(range(len(raw)))
+
+
 def test_leftmost_minimum():
     h = np.random.default_rng(1).integers(0, 5, 200).astype(np.uint64) << np.uint64(32)
     for size in (1, 2, 7, 64):
