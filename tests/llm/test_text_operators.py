@@ -72,6 +72,36 @@ def test_near_duplicates_against_brute_force(spark):
     assert sorted(i for i in ids if i is not None) == sorted({x.class_id for x in got.values()}) and ids.count(None) == 1
 
 
+def test_pairs_in_crowded_bands_are_all_found(spark):
+    r = random.Random(6)
+    passage = words(r, 300)
+    rows = []
+    for i in range(300):
+        own = words(r, 46).split()
+        rows.append((i, f"{passage} {' '.join(own)}", "en", "s"))
+        if i < 150:
+            rows.append((1000 + i, f"{passage} {' '.join(own[:23])} {words(r, 23)}", "en", "s"))
+    assert jaccard(rows[0][1], rows[2][1]) < 0.8 <= jaccard(rows[0][1], rows[1][1])
+    got = {x.doc_id: x.class_id for x in near_dedup.near_duplicates(frame(spark, rows), common=1).collect()}
+    assert got == {d: d % 1000 for d, *_ in rows}
+
+
+def test_possible_pairs_hold_all_similar_ones(spark):
+    r = random.Random(7)
+    rows, passage = [], words(r, 60)
+    for i in range(90):
+        w = (rows[r.randrange(len(rows))][1] if i % 2 else passage + " " + words(r, r.choice([5, 12, 20, 60]))).split()
+        for _ in range(r.randrange(3)):
+            w[r.randrange(len(w))] = "changed"
+        rows.append((i, " ".join(w + words(r, r.randrange(9)).split()), "en", "s"))
+    sets = near_dedup.features(frame(spark, rows), (np.zeros(0, np.uint64), np.zeros(0)))
+    sets = sets.dropDuplicates(["key"]).withColumn("component", F.col("key"))
+    got = {(bytes(x.a), bytes(x.b)) for x in near_dedup.possible(sets, 0.8, near_dedup.COMMON).collect()}
+    texts = {near_dedup.digest(t.encode()): t for _, t, *_ in rows}
+    want = {(a, b) for a in texts for b in texts if a < b and jaccard(texts[a], texts[b]) >= 0.8}
+    assert len(want) > 20 and want <= got
+
+
 def test_samples_estimate_weighted_jaccard():
     r = np.random.default_rng(3)
     h = np.unique(r.integers(0, 1 << 62, 400).astype(np.uint64))
