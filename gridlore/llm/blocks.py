@@ -8,17 +8,21 @@ own; blocks learn of each other's windows through a hash-partitioned index, in t
    one, so the distinct anchors are a small part of the windows. Blocks send their distinct anchors;
    an index bucket answers which of them other blocks have too.
 2. Blocks send one occurrence of each window whose anchor is shared, in runs with one anchor: the
-   anchor's 64-bit hash once, and 48 bits of each window's. A bucket sorts and merges both and answers
-   which windows also occur elsewhere and in which smallest document.
+   anchor's 64-bit hash once, and 48 bits of each window's. A bucket sorts each block's list, merges the
+   lists by binary search and answers which windows also occur elsewhere, and in which smallest document
+   at which place.
 
 Nothing is dropped, so the result does not depend on the number of blocks or buckets. A frequent
 window costs an entry a block, not one an occurrence: hot passages are aggregated before each
-shuffle. Different windows are taken for equal only if they have one anchor and 48 bits collide, or if
+shuffle. From TREE blocks on, the blocks fall into about as many groups as a group has blocks: a bucket
+then answers in two levels, first for each group and then for the groups, so that a passage that every
+block has costs a task the square root of the blocks. Different windows are taken for equal only if they have one anchor and 48 bits collide, or if
 the 64-bit keys made of both do (about n**2 / 2**65 pairs of n shared windows).
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -33,10 +37,14 @@ from gridlore.llm.hashing import BASE, Texts, grams, inside, isin_sorted, leftmo
 BLOCK_BYTES = 2 << 20
 LEAST_BLOCKS = 48
 
+#: Blocks from which buckets answer in two levels.
+TREE = 1024
+
 ANCHORS = "bucket int, block int, hashes binary"
-SHARED = "block int, hashes binary"
-ENTRIES = "bucket int, block int, here boolean, starts binary, sizes binary, docs binary, anchors binary, hashes binary"
-HITS = "block int, starts binary, sizes binary, docs binary"
+SHARED = "bucket int, block int, hashes binary"
+ENTRIES = "bucket int, block int, here boolean, starts binary, sizes binary, docs binary, places binary, anchors binary, hashes binary"
+HITS = "block int, starts binary, sizes binary, docs binary, places binary"
+UPPER = "bucket int, part int, hashes binary, docs binary, places binary"
 
 
 def block_count(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> int:
@@ -119,14 +127,44 @@ def _joined(table: pa.Table, column: str, kind) -> list[np.ndarray]:
     return [np.frombuffer(x, kind) for x in table.column(column).to_pylist()]
 
 
-def answer_anchors(table: pa.Table) -> pa.Table:
-    """Of each block's anchors those that another block has too."""
+def merged_order(lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """All values in order, and each one's place in the lists' concatenation: the lists are sorted each, then merged
+    two by two by binary search."""
+    at, parts = 0, []
+    for x in lists:
+        order = np.argsort(x)
+        parts.append((x[order], order + at))
+        at += len(x)
+    while len(parts) > 1:
+        parts.sort(key=lambda p: -len(p[0]))
+        some = []
+        for (a, i), (b, j) in zip(parts[::2], parts[1::2], strict=False):
+            to = np.searchsorted(a, b, side="right") + np.arange(len(b))
+            from_b = np.zeros(len(a) + len(b), bool)
+            from_b[to] = True
+            values, place = np.empty(len(from_b), a.dtype), np.empty(len(from_b), np.int64)
+            values[to], place[to] = b, j
+            values[~from_b], place[~from_b] = a, i
+            some.append((values, place))
+        parts = some + ([parts[-1]] if len(parts) % 2 else [])
+    return parts[0] if parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+
+
+def answer_anchors(table: pa.Table, also: np.ndarray | None = None) -> pa.Table:
+    """Of each block's anchors those that another block has too, or that are in `also`."""
     own = _joined(table, "hashes", np.uint64)
-    merged = np.sort(np.concatenate(own)) if own else np.zeros(0, np.uint64)
-    shared = np.unique(merged[1:][merged[1:] == merged[:-1]])
+    merged, _ = merged_order(own)
+    shared = merged[1:][merged[1:] == merged[:-1]]
+    shared = np.unique(shared if also is None else np.concatenate((shared, also)))
     kept = [x[isin_sorted(x, shared)] for x in own]
-    some = [i for i, x in enumerate(kept) if len(x)]
-    return pa.table({"block": table.column("block").take(pa.array(some, pa.int64())).cast(pa.int32()), "hashes": pa.array([kept[i].tobytes() for i in some], pa.binary())})
+    some = pa.array([i for i, x in enumerate(kept) if len(x)], pa.int64())
+    return pa.table({"bucket": table.column("bucket").take(some).cast(pa.int32()), "block": table.column("block").take(some).cast(pa.int32()), "hashes": pa.array([x.tobytes() for x in kept if len(x)], pa.binary())})
+
+
+def upper_anchors(table: pa.Table) -> pa.Table:
+    """A group's different anchors, as those of one block."""
+    h = np.unique(np.concatenate([np.zeros(0, np.uint64), *_joined(table, "hashes", np.uint64)]))
+    return pa.table({"bucket": table.column("bucket")[:1].cast(pa.int32()), "block": table.column("part")[:1].cast(pa.int32()), "hashes": pa.array([h.tobytes()][: table.num_rows], pa.binary())})
 
 
 def shared_windows(b: Block, answers: pa.Table) -> np.ndarray:
@@ -149,89 +187,158 @@ def split_runs(at: np.ndarray, *labels: np.ndarray) -> tuple[np.ndarray, np.ndar
     return begin, np.diff(np.append(begin, len(at)))
 
 
-_ENTRY = {"bucket": pa.int32(), "block": pa.int32(), "here": pa.bool_(), "starts": pa.binary(), "sizes": pa.binary(), "docs": pa.binary(), "anchors": pa.binary(), "hashes": pa.binary()}
+_ENTRY = {"bucket": pa.int32(), "block": pa.int32(), "here": pa.bool_(), **{k: pa.binary() for k in ("starts", "sizes", "docs", "places", "anchors", "hashes")}}
 
 
-def send_windows(b: Block, at: np.ndarray, repeated: np.ndarray, sources: np.ndarray, buckets: int) -> pa.Table:
-    """Index entries for the windows `at`; `repeated` windows of this block, settled here, go along, with their sources."""
+def send_windows(b: Block, at: np.ndarray, repeated: np.ndarray, sources: np.ndarray, places: np.ndarray, buckets: int) -> pa.Table:
+    """Index entries for the windows `at`; `repeated` windows of this block, settled here, go along, with the document and place that they repeat."""
     h = b.anchors[b.place[at]]
     bucket = _bucket(h, buckets)
     order = np.argsort(bucket * (1 << 32) + at)
     at, bucket = at[order], bucket[order]
-    doc, anchor = b.ids[b.doc_of(at)], h[order]
+    doc_of = b.doc_of(at)
+    doc, anchor, place = b.ids[doc_of], h[order], at - b.first[doc_of]
     out: dict[str, list] = {k: [] for k in _ENTRY}
 
-    def add(bucket, here, x, ids, anchors, hashes):
-        begin, size = split_runs(x, ids, anchors)
-        for k, v in zip(out, (bucket, b.block, here, x[begin].astype(np.uint32).tobytes(), size.astype(np.uint32).tobytes(), ids[begin].astype(np.int64).tobytes(), anchors[begin].tobytes(), hashes), strict=True):
+    def add(bucket, here, x, ids, place, anchors, hashes):
+        begin, size = split_runs(x, ids, x - place, anchors)
+        for k, v in zip(out, (bucket, b.block, here, x[begin].astype(np.uint32).tobytes(), size.astype(np.uint32).tobytes(), ids[begin].astype(np.int64).tobytes(), place[begin].astype(np.uint32).tobytes(), anchors[begin].tobytes(), hashes), strict=True):
             out[k].append(v)
 
     for k, i, j in _parts(bucket):
-        add(k, False, at[i:j], doc[i:j], anchor[i:j], b.windows[at[i:j]].view(np.uint8).reshape(-1, 8)[:, :6].tobytes())
+        add(k, False, at[i:j], doc[i:j], place[i:j], anchor[i:j], b.windows[at[i:j]].view(np.uint8).reshape(-1, 8)[:, :6].tobytes())
     if len(repeated):
-        add(b.block % buckets, True, repeated, sources, np.zeros(len(repeated), np.uint64), b"")
+        add(b.block % buckets, True, repeated, sources, places, np.zeros(len(repeated), np.uint64), b"")
     return pa.table({k: pa.array(v, _ENTRY[k]) for k, v in out.items()})
 
 
-def answer_windows(table: pa.Table, earlier: bool) -> pa.Table:
-    """Which entries' windows other blocks have too; earlier: only those of a smaller document, which is returned."""
-    out: dict[str, list] = {k: [] for k in ("block", "starts", "sizes", "docs")}
+def _spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... of each run."""
+    return np.repeat(start - np.cumsum(size) + size, size) + np.arange(size.sum())
+
+
+@dataclass
+class Sent:
+    """The windows of the entries of a bucket: each entry's places in its block, and over all entries the hashes, documents and places in them."""
+
+    rows: list[dict]
+    at: list[np.ndarray]
+    hashes: list[np.ndarray]
+    doc: np.ndarray
+    place: np.ndarray
+
+
+def read_entries(rows: list[dict]) -> Sent:
+    at, hashes, doc, place = [], [], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for r in rows:
+        size = np.frombuffer(r["sizes"], np.uint32).astype(np.int64)
+        at.append(_spread(np.frombuffer(r["starts"], np.uint32).astype(np.int64), size))
+        place.append(_spread(np.frombuffer(r["places"], np.uint32).astype(np.int64), size))
+        doc.append(np.repeat(np.frombuffer(r["docs"], np.int64), size))
+        low = np.zeros((len(at[-1]), 8), np.uint8)
+        low[:, :6] = np.frombuffer(r["hashes"], np.uint8).reshape(-1, 6)
+        hashes.append(mix(np.repeat(np.frombuffer(r["anchors"], np.uint64), size) * np.uint64(BASE) + low.view(np.uint64)[:, 0]))
+    return Sent(rows, at, hashes, np.concatenate(doc), np.concatenate(place))
+
+
+def least_sources(lists: list[np.ndarray], doc: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The merged hashes' order, where each different one begins, how often it occurs, and its smallest (document, place)."""
+    h, order = merged_order(lists)
+    begin = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1]))) if len(h) else np.zeros(0, np.int64)
+    count = np.diff(np.append(begin, len(h)))
+    if not len(h):
+        return order, begin, count, doc[:0], place[:0]
+    doc, place = doc[order], place[order]
+    least = np.minimum.reduceat(doc, begin)
+    at = np.minimum.reduceat(np.where(doc == np.repeat(least, count), place, np.iinfo(np.int64).max), begin)
+    return order, begin, count, least, at
+
+
+def upper_windows(table: pa.Table) -> pa.Table:
+    """A group's different windows with their smallest (document, place)."""
+    sent = read_entries([r for r in table.to_pylist() if not r["here"]])
+    order, begin, _, doc, place = least_sources(sent.hashes, sent.doc, sent.place)
+    h = np.concatenate([np.zeros(0, np.uint64), *sent.hashes])[order[begin]]
+    some = slice(0, 1 if len(h) else 0)
+    return pa.table({
+        "bucket": table.column("bucket")[some].cast(pa.int32()), "part": table.column("part")[some].cast(pa.int32()),
+        **{k: pa.array([x.tobytes()][some], pa.binary()) for k, x in (("hashes", h), ("docs", doc), ("places", place))},
+    })
+
+
+def answer_upper(table: pa.Table, earlier: bool) -> pa.Table:
+    """Of each group's windows those that another group has too (earlier: in a smaller document), with the smallest (document, place) of all."""
+    own, docs, places = _joined(table, "hashes", np.uint64), _joined(table, "docs", np.int64), _joined(table, "places", np.int64)
+    doc = np.concatenate([np.zeros(0, np.int64), *docs])
+    order, begin, count, least, at = least_sources(own, doc, np.concatenate([np.zeros(0, np.int64), *places]))
+    of = np.empty(len(order), np.int64)
+    of[order] = np.repeat(np.arange(len(begin)), count)
+    hit = (least[of] < doc) if earlier else count[of] > 1
+    to, out = 0, {k: [] for k in ("hashes", "docs", "places")}
+    for x in own:
+        mine = slice(to, to + len(x))
+        to += len(x)
+        keep = hit[mine]
+        for k, v in zip(out, (x[keep], least[of[mine]][keep], at[of[mine]][keep]), strict=True):
+            out[k].append(v.tobytes())
+    return pa.table({"bucket": table.column("bucket").cast(pa.int32()), "part": table.column("part").cast(pa.int32()), **{k: pa.array(v, pa.binary()) for k, v in out.items()}})
+
+
+def answer_windows(table: pa.Table, earlier: bool, upper: pa.Table | None = None) -> pa.Table:
+    """Which entries' windows other blocks have too; earlier: only those of a smaller document. The smallest document
+    and the place in it are returned. upper tells what the other groups have."""
+    out: dict[str, list] = {k: [] for k in ("block", "starts", "sizes", "docs", "places")}
     rows = table.to_pylist()
     for r in rows:
         if r["here"]:
             for k in out:
                 out[k].append(r[k])
-    rows = [r for r in rows if not r["here"]]
-    if rows:
-        start = [np.frombuffer(r["starts"], np.uint32).astype(np.int64) for r in rows]
-        size = [np.frombuffer(r["sizes"], np.uint32).astype(np.int64) for r in rows]
-        docs = [np.repeat(np.frombuffer(r["docs"], np.int64), n) for r, n in zip(rows, size, strict=True)]
-        at = [np.repeat(s - np.cumsum(n) + n, n) + np.arange(n.sum()) for s, n in zip(start, size, strict=True)]
-        low = np.zeros((sum(map(len, at)), 8), np.uint8)
-        low[:, :6] = np.frombuffer(b"".join(r["hashes"] for r in rows), np.uint8).reshape(-1, 6)
-        anchor = np.concatenate([np.repeat(np.frombuffer(r["anchors"], np.uint64), n) for r, n in zip(rows, size, strict=True)])
-        h = mix(anchor * np.uint64(BASE) + low.view(np.uint64)[:, 0])
-        doc = np.concatenate(docs)
-        order = np.argsort(h)
-        sorted_h = h[order]
-        begin = np.flatnonzero(np.concatenate(([True], sorted_h[1:] != sorted_h[:-1])))
-        count = np.diff(np.append(begin, len(h)))
-        least = np.empty_like(doc)
-        least[order] = np.repeat(np.minimum.reduceat(doc[order], begin), count)
-        if earlier:
-            hit = least < doc
-        else:
-            hit = np.empty(len(h), bool)
-            hit[order] = np.repeat(count > 1, count)
+    sent = read_entries([r for r in rows if not r["here"]])
+    if sent.rows:
+        order, begin, count, least, place = least_sources(sent.hashes, sent.doc, sent.place)
+        elsewhere = count > 1
+        if upper is not None and upper.num_rows:
+            h = np.concatenate(sent.hashes)[order[begin]]
+            far, at = merged_order(_joined(upper, "hashes", np.uint64))
+            known = isin_sorted(h, far)
+            to = at[np.searchsorted(far, h[known])]
+            least[known], place[known] = np.concatenate(_joined(upper, "docs", np.int64))[to], np.concatenate(_joined(upper, "places", np.int64))[to]
+            elsewhere |= known
+        of = np.empty(len(order), np.int64)
+        of[order] = np.repeat(np.arange(len(begin)), count)
+        hit = least[of] < sent.doc if earlier else elsewhere[of]
         to = 0
-        for r, x in zip(rows, at, strict=True):
+        for r, x in zip(sent.rows, sent.at, strict=True):
             own = slice(to, to + len(x))
             to += len(x)
-            x, ref = x[hit[own]], least[own][hit[own]]
+            mine = of[own][hit[own]]
+            x, doc, at = x[hit[own]], least[mine], place[mine]
             if len(x):
-                begin, n = split_runs(x, ref)
-                for k, v in zip(out, (r["block"], x[begin].astype(np.uint32).tobytes(), n.astype(np.uint32).tobytes(), ref[begin].tobytes()), strict=True):
+                begin_, n = split_runs(x, doc, x - at) if earlier else split_runs(x)
+                for k, v in zip(out, (r["block"], x[begin_].astype(np.uint32).tobytes(), n.astype(np.uint32).tobytes(), doc[begin_].tobytes(), at[begin_].astype(np.uint32).tobytes()), strict=True):
                     out[k].append(v)
     return pa.table({k: pa.array(v, pa.int32() if k == "block" else pa.binary()) for k, v in out.items()})
 
 
-def hits_of(answers: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, sizes and source documents of the runs of repeated windows, by start."""
+def hits_of(answers: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, sizes, source documents and places in them of the runs of repeated windows, by start."""
     none = np.zeros(0, np.int64)
-    start = np.concatenate([none, *(x.astype(np.int64) for x in _joined(answers, "starts", np.uint32))])
-    size = np.concatenate([none, *(x.astype(np.int64) for x in _joined(answers, "sizes", np.uint32))])
-    docs = np.concatenate([none, *_joined(answers, "docs", np.int64)])
+    start, size, docs, places = (
+        np.concatenate([none, *(x.astype(np.int64) for x in _joined(answers, k, kind))])
+        for k, kind in (("starts", np.uint32), ("sizes", np.uint32), ("docs", np.int64), ("places", np.uint32))
+    )
     order = np.argsort(start, kind="stable")
-    return start[order], size[order], docs[order]
+    return start[order], size[order], docs[order], places[order]
 
 
-def repeated_windows(docs: DataFrame, *, window: int, anchor: int, words: bool, earlier: bool, local, finish, schema: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Run both rounds. local(block, shared) gives the windows to send and the repeated ones with their sources;
-    finish(table, starts, sizes, sources) gives the block's result under `schema`. The three uses of the dealt
-    texts have one plan, so Spark shuffles the texts once and reuses that exchange."""
+def repeated_windows(docs: DataFrame, *, window: int, anchor: int, words: bool, earlier: bool, local, finish, schema: str, block_bytes: int = BLOCK_BYTES, tree: int = TREE) -> DataFrame:
+    """Run both rounds. local(block, shared) gives the windows to send and the repeated ones with their sources and
+    places; finish(table, starts, sizes, sources, places) gives the block's result under `schema`. The three uses of
+    the dealt texts have one plan, so Spark shuffles the texts once and reuses that exchange."""
     blocks = block_count(docs, block_bytes)
     buckets = max(32, blocks // 4)
     dealt = deal(docs, blocks)
+    groups = math.isqrt(blocks) if blocks >= tree else 1
 
     def first(table):
         return send_anchors(open_block(table, window, anchor, words, earlier), buckets)
@@ -245,8 +352,22 @@ def repeated_windows(docs: DataFrame, *, window: int, anchor: int, words: bool,
     def third(table, answers):
         return finish(table, *hits_of(answers))
 
+    def grouped(df):
+        return df.withColumn("part", F.pmod("block", F.lit(groups)).cast("int")).groupBy("bucket", "part")
+
+    def far(upper):
+        return np.concatenate([np.zeros(0, np.uint64), *_joined(upper, "hashes", np.uint64)])
+
     anchors = dealt.groupBy("block").applyInArrow(first, ANCHORS)
-    shared = anchors.groupBy("bucket").applyInArrow(answer_anchors, SHARED)
+    if groups == 1:
+        shared = anchors.groupBy("bucket").applyInArrow(lambda t: answer_anchors(t), SHARED)
+    else:
+        upper = grouped(anchors).applyInArrow(upper_anchors, SHARED).groupBy("bucket").applyInArrow(lambda t: answer_anchors(t), SHARED)
+        shared = grouped(anchors).cogroup(upper.withColumnRenamed("block", "part").groupBy("bucket", "part")).applyInArrow(lambda t, u: answer_anchors(t, far(u)), SHARED)
     entries = dealt.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(second, ENTRIES)
-    hits = entries.groupBy("bucket").applyInArrow(lambda t: answer_windows(t, earlier), HITS)
+    if groups == 1:
+        hits = entries.groupBy("bucket").applyInArrow(lambda t: answer_windows(t, earlier), HITS)
+    else:
+        upper = grouped(entries).applyInArrow(upper_windows, UPPER).groupBy("bucket").applyInArrow(lambda t: answer_upper(t, earlier), UPPER)
+        hits = grouped(entries).cogroup(upper.groupBy("bucket", "part")).applyInArrow(lambda t, u: answer_windows(t, earlier, u), HITS)
     return dealt.groupBy("block").cogroup(hits.groupBy("block")).applyInArrow(third, schema)

@@ -11,22 +11,44 @@ from pyspark.sql import functions as F
 
 
 def shared_checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a private one only where none is set (tests, local mode)."""
+    """The cluster's shared checkpoint folder. Where none is set, local mode has a private one; a cluster raises."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if where:
         return where
     where = spark.sparkContext.getCheckpointDir()
     if not where:
+        if not (spark.sparkContext.master or "").startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         where = "file://" + os.path.join(tempfile.gettempdir(), "gridlore-checkpoints")
         spark.sparkContext.setCheckpointDir(where)
     return where
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write a table to the shared folder and read it back, so that lost executors cost no recomputation."""
-    path = f"{shared_checkpoint_dir(df.sparkSession).rstrip('/')}/gridlore-{uuid.uuid4().hex}"
+    """Write a table to the shared folder and read it back, so that lost executors cost no recomputation.
+
+    The folder is removed by `release`, or else when the driver's JVM ends."""
+    spark = df.sparkSession
+    path = f"{shared_checkpoint_dir(spark).rstrip('/')}/gridlore-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    where, system = _files(spark, path)
+    system.deleteOnExit(where)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.cut_path = path
+    return out
+
+
+def _files(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def release(*tables: DataFrame) -> None:
+    """Remove the folders of tables that `cut` wrote and that no plan will read again."""
+    for x in tables:
+        if getattr(x, "cut_path", None):
+            where, system = _files(x.sparkSession, x.cut_path)
+            system.delete(where, True)
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -40,6 +62,28 @@ def fresh(df: DataFrame, stem: str) -> str:
     return stem
 
 
+#: The most frequent keys of a join that are looked at; any other key has at most one in HOT_KEYS of the rows.
+HOT_KEYS = 4096
+#: Rows from which one of them is dealt to parts, and the parts.
+HOT_ROWS, HOT_PARTS = 256, 64
+
+
+def spread_join(rows: DataFrame, table: DataFrame, key: str, how: str = "inner", keys: DataFrame | None = None) -> DataFrame:
+    """rows joined to table, which has a row a key, by `key`; no task gets all rows of a hot key.
+
+    The HOT_KEYS most frequent keys are broadcast, a bound that does not depend on the data. Rows of one with over
+    HOT_ROWS rows are dealt to HOT_PARTS parts, and the table's row for it is copied to each. keys has the keys of
+    rows, where rows themselves are dear to compute twice."""
+    part, hot = fresh(rows, "_part"), fresh(rows, "_hot")
+    counts = (rows if keys is None else keys).groupBy(F.col(key).alias(hot)).agg(F.count(F.lit(1)).alias("n"))
+    hottest = F.broadcast(counts.orderBy(F.desc("n"), hot).limit(HOT_KEYS).where(F.col("n") > HOT_ROWS).select(hot))
+    dealt = rows.join(hottest, F.col(key) == F.col(hot), "left")
+    dealt = dealt.withColumn(part, F.when(F.col(hot).isNotNull(), F.pmod(F.xxhash64(*rows.columns), F.lit(HOT_PARTS))).otherwise(F.lit(0)).cast("int")).drop(hot)
+    copies = table.join(hottest, F.col(key) == F.col(hot), "left")
+    copies = copies.withColumn(part, F.explode(F.when(F.col(hot).isNotNull(), F.sequence(F.lit(0), F.lit(HOT_PARTS - 1))).otherwise(F.array(F.lit(0))))).drop(hot)
+    return dealt.join(copies, [key, part], how).drop(part)
+
+
 def total_bytes(df: DataFrame, column: str = "text") -> int:
     """Octets of a text column over the whole table."""
     return df.agg(F.sum(F.octet_length(F.col(column)))).first()[0] or 0

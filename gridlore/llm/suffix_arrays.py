@@ -4,11 +4,13 @@ A shard is a block of documents (see `blocks`). Its suffix array is built over t
 regions, the bytes of every window that the content-defined anchors do not rule out as unique, by
 Larsson-Sadakane refinement; Kasai's algorithm gives the common prefixes of neighbours, and windows
 with a common prefix of the whole length are repeated in the shard. Across shards, one occurrence of
-each distinct window that shares an anchor with another shard goes into sorted lists that are merged
-by binary search.
+each distinct window that shares an anchor with another shard goes into the shards' lists; the lists are
+sorted by the windows' hashes (not by their bytes, which would be 200 times the text) and merged by
+binary search.
 
 Edge cases: a null text is empty; matches never cross documents; copies and repeated rows count as
-elsewhere; kept bytes may end inside a character, so they are binary; extra columns are ignored.
+elsewhere; rows with a null doc_id take part and keep it; kept bytes may end inside a character, so they
+are binary; extra columns are ignored, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from gridlore.llm.blocks import BLOCK_BYTES, Block, repeated_windows, rows_of
+from gridlore.llm.blocks import BLOCK_BYTES, TREE, Block, repeated_windows, rows_of
 from gridlore.llm.hashing import Texts, cover, runs
 
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
@@ -97,7 +99,7 @@ def common_prefixes(text: np.ndarray, sa: np.ndarray, rank: np.ndarray, cap: int
     return out
 
 
-def repeated_in_shard(b: Block, shared: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def repeated_in_shard(b: Block, shared: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """One occurrence of each distinct window that is shared with other shards, and all that are repeated in this one."""
     none = np.zeros(0, np.int64)
     at = np.unique(b.place[b.valid])
@@ -107,7 +109,7 @@ def repeated_in_shard(b: Block, shared: np.ndarray, window: int) -> tuple[np.nda
     here = b.valid & twice[b.place]
     wanted = np.flatnonzero(here | shared)
     if not len(wanted):
-        return none, none, none
+        return none, none, none, none
     held = np.flatnonzero(cover(wanted, wanted + window, len(b.texts.buf)))
     text = b.texts.buf[held]
     sa, rank = suffix_array(text)
@@ -124,13 +126,13 @@ def repeated_in_shard(b: Block, shared: np.ndarray, window: int) -> tuple[np.nda
     lone = first & np.append(first[1:], True)
     again = np.sort(held[s[~lone]])
     one = held[s[first]]
-    return np.sort(one[shared[one]]), again, np.zeros(len(again), np.int64)
+    return np.sort(one[shared[one]]), again, np.zeros(len(again), np.int64), again
 
 
-def suffix_array_dedup(docs: DataFrame, window: int = 200, anchor: int = 64, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def suffix_array_dedup(docs: DataFrame, window: int = 200, anchor: int = 64, block_bytes: int = BLOCK_BYTES, tree: int = TREE) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept (binary): every byte in a `window`-byte string that starts anywhere else too goes."""
 
-    def finish(table: pa.Table, starts, sizes, _) -> pa.Table:
+    def finish(table: pa.Table, starts, sizes, *_) -> pa.Table:
         if not table.num_rows:
             return pa.table({"doc_id": pa.array([], pa.int64()), "n_bytes": pa.array([], pa.int64()), "n_removed": pa.array([], pa.int64()), "n_spans": pa.array([], pa.int64()), "kept": pa.array([], pa.binary())})
         _, ids, known, docs_ = rows_of(table)
@@ -155,4 +157,4 @@ def suffix_array_dedup(docs: DataFrame, window: int = 200, anchor: int = 64, blo
             "kept": pa.array(kept, pa.binary()),
         })
 
-    return repeated_windows(docs, window=window, anchor=anchor, words=False, earlier=False, local=lambda b, shared: repeated_in_shard(b, shared, window), finish=finish, schema=RESULT, block_bytes=block_bytes)
+    return repeated_windows(docs, window=window, anchor=anchor, words=False, earlier=False, local=lambda b, shared: repeated_in_shard(b, shared, window), finish=finish, schema=RESULT, block_bytes=block_bytes, tree=tree)

@@ -7,9 +7,9 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from gridlore.llm.blocks import open_block
-from gridlore.llm.hashing import leftmost_minimum
-from gridlore.llm.substring_dedup import substring_dedup
+from gridlore.llm.blocks import merged_order, open_block
+from gridlore.llm.hashing import Texts, leftmost_minimum
+from gridlore.llm.substring_dedup import parse, substring_dedup
 from gridlore.llm.suffix_arrays import common_prefixes, repeated_in_shard, suffix_array, suffix_array_dedup
 
 SCHEMA = "doc_id long, text string, block string, bucket long"
@@ -68,23 +68,110 @@ def brute_bytes(rows, window):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_substring_dedup_against_brute_force(spark, seed):
+def thue_morse(n, zero="a", one="b"):
+    return "".join(one if bin(i).count("1") & 1 else zero for i in range(n))
+
+
+# With tree=1 the index answers in two levels, as it does from many blocks on.
+@pytest.mark.parametrize(("seed", "tree"), [(1, 1024), (2, 1)])
+def test_substring_dedup_against_brute_force(spark, seed, tree):
     rows = fixture(seed)
-    got = substring_dedup(spark.createDataFrame(rows, SCHEMA), block_bytes=3000).collect()
+    got = substring_dedup(spark.createDataFrame(rows, SCHEMA), block_bytes=3000, tree=tree).collect()
     assert sorted([(r.doc_id, r.n_words, r.n_removed, r.kept) for r in got], key=repr) == brute_words(rows, 13)
+    texts = defaultdict(list)
+    for d, t, *_ in rows:
+        texts[d].append(WORD.findall((t or "").encode()))
     for r in got:
         assert sum(f.length for f in r.factors) == r.n_removed
-        assert all(f.source < r.doc_id for f in r.factors)
-
-
-@pytest.mark.parametrize("seed", [1, 2])
-def test_suffix_array_dedup_against_brute_force(spark, seed):
+        for i, f in enumerate(r.factors):
+            assert f.source < r.doc_id
+            assert any(w[f.start : f.start + f.length] == x[f.place : f.place + f.length] for w in texts[r.doc_id] for x in texts[f.source])
+            before = r.factors[i - 1] if i else None
+            assert f.length >= 13 or before.start + before.length == f.start
+
+
+def test_long_copies_are_one_factor(spark):
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(6))
+    copied, phrase = [word() for _ in range(400)], [word() for _ in range(20)]
+    own = [word() for _ in range(30)]
+    rows = [(9, " ".join(copied), "x", 0), (12, " ".join([*own, *copied, *own]), "x", 0), (3, " ".join(phrase), "x", 0), (14, " ".join([*phrase, *phrase[:13]]), "x", 0)]
+    got = {x.doc_id: x for x in substring_dedup(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert [tuple(f) for f in got[12].factors] == [(30, 400, 9, 0)] and got[12].n_removed == 400
+    assert [tuple(f) for f in got[14].factors] == [(0, 20, 3, 0), (20, 13, 3, 0)]
+
+
+def test_parse_against_plain_walk():
+    r = random.Random(8)
+    for _ in range(200):
+        n, window = r.randint(1, 60), r.randint(1, 9)
+        hits = {i: (r.randint(1, 2), i + r.choice([0, 0, 0, 5])) for i in range(n) if r.random() < 0.6}
+        cuts, runs = sorted(r.sample(range(n), r.randint(0, n // 4))), []
+        for i in sorted(hits):
+            if runs and i - 1 in hits and i not in cuts and hits[i] == (hits[i - 1][0], hits[i - 1][1] + 1):
+                runs[-1][1] += 1
+            else:
+                runs.append([i, 1, *hits[i]])
+        want, done, i = [], 0, 0
+        while i < n:
+            if i not in hits:
+                i += 1
+                continue
+            j = i
+            while j + 1 in hits and hits[j + 1] == (hits[j][0], hits[j][1] + 1):
+                j += 1
+            start, end = max(i, done), j + window
+            if end > start:
+                want.append((start, end - start, hits[i][0], hits[i][1] + start - i))
+                done = end
+            i = j + 1
+        columns = [np.array(c, np.int64) for c in zip(*runs, strict=True)] if runs else [np.zeros(0, np.int64)] * 4
+        assert [tuple(map(int, f)) for f in zip(*parse(*columns, window), strict=True)] == want
+
+
+def test_words_that_collide_modulo_powers_of_two(spark):
+    a, b = thue_morse(1024), thue_morse(1024, "b", "a")
+    words = [f"w{i}" for i in range(12)]
+    rows = [(1, " ".join([*words, a]), "x", 0), (2, " ".join([*words, b]), "x", 0), (3, " ".join([*words, b]), "x", 0)]
+    got = {x.doc_id: x.n_removed for x in substring_dedup(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {1: 0, 2: 0, 3: 13}
+    _, _, h, _ = Texts([a.encode(), b.encode(), a.encode()]).words()
+    assert h[0] != h[1] and h[0] == h[2]
+    w = Texts([a.encode(), b.encode()]).windows(1024)
+    assert w[0] != w[1025]
+
+
+def test_merging_by_binary_search():
+    r = np.random.default_rng(2)
+    for _ in range(30):
+        lists = [r.integers(0, 50, r.integers(0, 40)).astype(np.uint64) for _ in range(r.integers(0, 9))]
+        whole = np.concatenate([np.zeros(0, np.uint64), *lists])
+        values, place = merged_order(lists)
+        assert values.tolist() == np.sort(whole).tolist() == whole[place].tolist() and sorted(place.tolist()) == list(range(len(whole)))
+
+
+@pytest.mark.parametrize(("seed", "tree"), [(1, 1024), (2, 1)])
+def test_suffix_array_dedup_against_brute_force(spark, seed, tree):
     rows = fixture(seed)
-    got = suffix_array_dedup(spark.createDataFrame(rows, SCHEMA), block_bytes=3000).collect()
+    got = suffix_array_dedup(spark.createDataFrame(rows, SCHEMA), block_bytes=3000, tree=tree).collect()
     assert sorted([(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(r.kept).hexdigest()) for r in got], key=repr) == brute_bytes(rows, 200)
 
 
+def test_suffix_array_dedup_on_the_whole_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = {r.doc_id: (r.text or "").encode() for r in docs.select("doc_id", "text").collect()}
+    count = Counter(hash(b[i : i + 200]) for b in texts.values() for i in range(len(b) - 199))
+    for r in suffix_array_dedup(docs).collect():
+        b = np.frombuffer(texts[r.doc_id], np.uint8)
+        gone = np.zeros(len(b) + 1, np.int64)
+        for i in range(len(b) - 199):
+            if count[hash(texts[r.doc_id][i : i + 200])] > 1:
+                gone[i] += 1
+                gone[i + 200] -= 1
+        gone = np.cumsum(gone[:-1]) > 0
+        assert (r.n_bytes, r.n_removed, bytes(r.kept)) == (len(b), int(gone.sum()), b[~gone].tobytes()), r.doc_id
+
+
 def test_other_window_sizes(spark):
     rows = fixture(3, n=20, copies=2)
     got = suffix_array_dedup(spark.createDataFrame(rows, SCHEMA), window=40, anchor=8).collect()
@@ -123,7 +210,7 @@ def test_long_copies_in_a_large_block():
     raw, at = b.texts.buf.tobytes(), np.flatnonzero(b.valid).tolist()
     assert len(raw) > 1 << 20
     count = Counter(raw[i : i + 200] for i in at)
-    _, again, _ = repeated_in_shard(b, np.zeros(len(b.valid), bool), 200)
+    _, again, *_ = repeated_in_shard(b, np.zeros(len(b.valid), bool), 200)
     assert again.tolist() == [i for i in at if count[raw[i : i + 200]] > 1]
 
 
