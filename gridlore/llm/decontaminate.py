@@ -11,13 +11,16 @@ The benchmark is shipped to the tasks in parts of at most PART_BYTES, one scan o
 A pair is tiled only if its seeds could cover the threshold, which bounds coverage from above, so no
 pair is lost.
 
-Edge cases: null and empty texts hold nothing; items with fewer than `least` tokens cannot be matched;
-repeated items are reported each; an empty benchmark reports nothing; extra columns are kept by
-`with_matches`.
+Edge cases: null and empty texts hold nothing; a tile has `least` tokens at least, so an item of fewer is
+never held (it would mark most clean documents); equal matches are marked from the item's front, then the
+document's; repeated items are reported each, and repeated documents too; an empty benchmark reports nothing and
+an empty table gives an empty result; extra columns are kept by `with_matches` and `decontaminate`, whatever
+their names.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections import defaultdict
 from dataclasses import dataclass
 
@@ -28,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridlore.llm.common import byte_chunks, fresh, total_bytes
-from gridlore.llm.hashing import Texts, grams, inside
+from gridlore.llm.hashing import Texts, cover, grams, inside, runs
 
 #: Octets of benchmark text that one scan carries.
 PART_BYTES = 16 << 20
@@ -72,43 +75,79 @@ def build_index(ids: list[int], texts: list[str], least: int) -> Index:
     return Index(ids, [h[a:b] for a, b in zip(first[:-1], first[1:], strict=True)], seeds, np.append(begin, len(place)), np.stack([item, place - first[item]], 1) if len(place) else np.zeros((0, 2), np.int64), bits)
 
 
-def tile(item: np.ndarray, doc: np.ndarray, pairs: list[tuple[int, int]], least: int) -> list[tuple[int, int, int]]:
-    """Greedy string tiling: (place in item, place in doc, length) of each tile.
+#: Pairs of places that are looked at side by side.
+_SLAB = 1 << 18
 
-    pairs are the places whose `least` tokens are equal; a longer match begins at a pair that goes on."""
+
+def free_windows(marked: np.ndarray, size: int) -> np.ndarray:
+    """The places whose next `size` tokens are all unmarked."""
+    total = np.concatenate(([0], np.cumsum(marked)))
+    return np.flatnonzero(total[size:] == total[:-size]) if len(marked) >= size else np.zeros(0, np.int64)
+
+
+def maximal_matches(item: np.ndarray, doc: np.ndarray, marked_item: np.ndarray, marked_doc: np.ndarray, length: int) -> list[tuple[int, int, int]]:
+    """(-length, place in item, place in doc) of the matches of unmarked tokens that cannot be lengthened and have `length` tokens at least.
+
+    Karp-Rabin: the item's free windows of that length are sorted by hash, and the document's are looked up in them.
+    Of all pairs only those that begin a match are followed, so repeated tokens cost a comparison a pair and no more."""
+    at_i, at_j = free_windows(marked_item, length), free_windows(marked_doc, length)
+    if not len(at_i) or not len(at_j):
+        return []
+    hash_i, hash_j = grams(item, length)[at_i], grams(doc, length)[at_j]
+    order = np.argsort(hash_i, kind="stable")
+    at_i, hash_i = at_i[order], hash_i[order]
+    low, high = np.searchsorted(hash_i, hash_j, "left"), np.searchsorted(hash_i, hash_j, "right")
+    some = high > low
+    at_j, low, count = at_j[some], low[some], (high - low)[some]
+    end = np.cumsum(count)
+    out: list[tuple[int, int, int]] = []
+    a = 0
+    while a < len(at_j):
+        b = max(a + 1, int(np.searchsorted(end, (end[a - 1] if a else 0) + _SLAB, "right")))
+        n = count[a:b]
+        j = np.repeat(at_j[a:b], n)
+        i = at_i[np.repeat(low[a:b] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        before_i, before_j = np.maximum(i - 1, 0), np.maximum(j - 1, 0)
+        goes_back = (i > 0) & (j > 0) & (item[before_i] == doc[before_j]) & ~marked_item[before_i] & ~marked_doc[before_j]
+        i, j = i[~goes_back], j[~goes_back]
+        size = np.zeros(len(i), np.int64)
+        open_ = np.arange(len(i))
+        while len(open_):
+            x, y = i[open_] + size[open_], j[open_] + size[open_]
+            inside = (x < len(item)) & (y < len(doc))
+            x, y = np.minimum(x, len(item) - 1), np.minimum(y, len(doc) - 1)
+            open_ = open_[inside & (item[x] == doc[y]) & ~marked_item[x] & ~marked_doc[y]]
+            size[open_] += 1
+        long = size >= length
+        out += zip((-size[long]).tolist(), i[long].tolist(), j[long].tolist(), strict=True)
+        a = b
+    return out
+
+
+def tile(item: np.ndarray, doc: np.ndarray, least: int) -> list[tuple[int, int, int]]:
+    """Greedy string tiling: (place in item, place in doc, length) of each tile, by place.
+
+    The longest match of unmarked tokens is marked first (of equals the first in the item, then in the document), and
+    so on down to `least` tokens. Matches are searched for one length at a time, which is halved; a match that meets
+    marked tokens goes back among the others with what is left of it."""
     marked_item, marked_doc = np.zeros(len(item), bool), np.zeros(len(doc), bool)
     out: list[tuple[int, int, int]] = []
-    length = max(least, min(len(item), 32))
-    pairs = sorted(set(pairs))
+    length = max(least, min(len(item), len(doc)) // 2)
     while True:
-        at_item: dict[int, list[int]] = defaultdict(list)
-        window_item, window_doc = grams(item, length), grams(doc, length)
-        free = lambda marks, i, n: not marks[i : i + n].any()
-        for i in sorted({i for i, _ in pairs}):
-            if i < len(window_item) and free(marked_item, i, length):
-                at_item[int(window_item[i])].append(i)
-        found: list[tuple[int, int, int]] = []
-        longer = 0
-        for j in sorted({j for _, j in pairs}):
-            if j < len(window_doc) and free(marked_doc, j, length):
-                for i in at_item.get(int(window_doc[j]), ()):
-                    n = 0
-                    while i + n < len(item) and j + n < len(doc) and item[i + n] == doc[j + n] and not marked_item[i + n] and not marked_doc[j + n]:
-                        n += 1
-                    if n >= length:
-                        found.append((n, i, j))
-                        longer = max(longer, n)
-        if longer > 2 * length:
-            length = longer
-            continue
-        for n, i, j in sorted(found, key=lambda x: (-x[0], x[1], x[2])):
-            if free(marked_item, i, n) and free(marked_doc, j, n):
+        found = maximal_matches(item, doc, marked_item, marked_doc, length)
+        heapq.heapify(found)
+        while found:
+            n, i, j = heapq.heappop(found)
+            n = -n
+            marked = marked_item[i : i + n] | marked_doc[j : j + n]
+            if marked.any():
+                for a, b in zip(*runs(~marked), strict=True):
+                    if b - a >= length:
+                        heapq.heappush(found, (int(a - b), i + int(a), j + int(a)))
+            else:
                 marked_item[i : i + n] = marked_doc[j : j + n] = True
                 out.append((i, j, n))
-        left = [x for x in found if (x[1], x[2], x[0]) not in out and not marked_item[x[1]] and not marked_doc[x[2]]]
-        if left and any(free(marked_item, i, length) and free(marked_doc, j, length) for _, i, j in left):
-            continue
-        if length == least:
+        if length == least or marked_item.all():
             return sorted(out)
         length = max(least, length // 2)
 
@@ -131,22 +170,21 @@ def matches(texts: list[str], index: Index, least: int, threshold: float) -> lis
         if a == b:
             continue
         d = int(doc[a])
-        held: dict[int, dict[int, int]] = defaultdict(dict)
+        held: dict[int, list[tuple[int, int]]] = defaultdict(list)
         for s in np.unique(seed[a:b]).tolist():
             for item, i in index.at[index.begin[s] : index.begin[s + 1]].tolist():
-                held[item][i] = s
-        where: dict[int, list[int]] = defaultdict(list)
-        for p, s in zip((place[a:b] - first[d]).tolist(), seed[a:b].tolist(), strict=True):
-            where[s].append(p)
+                held[item].append((i, s))
         words = h[first[d] : first[d + 1]]
-        for item, places in held.items():
-            tokens_ = index.items[item]
-            could = np.zeros(len(tokens_), bool)
-            for i in places:
-                could[i : i + least] = True
-            if could.sum() < threshold * len(tokens_):
+        for item, found in held.items():
+            tokens_, places = index.items[item], np.array([i for i, _ in found])
+            if cover(places, places + least, len(tokens_)).sum() < threshold * len(tokens_):
                 continue
-            tiles = tile(tokens_, words, [(i, j) for i, s in places.items() for j in where[s]], least)
+            # Only tokens under the item's seeds can be tiled; of the others one is kept a gap, as no token.
+            shared = place[a:b][np.isin(seed[a:b], [s for _, s in found])] - first[d]
+            near = cover(shared, shared + least, len(words))
+            kept = near.copy()
+            kept[1:] |= near[:-1]
+            tiles = tile(tokens_, np.where(near, words, np.uint64(0))[kept], least)
             n = sum(x[2] for x in tiles)
             if n >= threshold * len(tokens_):
                 out[d].append({"item_id": index.ids[item], "n_tokens": len(tokens_), "n_tiled": n, "coverage": n / len(tokens_), "n_tiles": len(tiles), "longest": max(x[2] for x in tiles)})
@@ -166,19 +204,23 @@ def _scan(docs: DataFrame, index: Index, into: str, least: int, threshold: float
 
 
 def with_matches(docs: DataFrame, benchmark: DataFrame, into: str = "matches", least: int = LEAST, threshold: float = THRESHOLD) -> DataFrame:
-    """docs with a column of the benchmark items (item_id, text) that each text holds, sorted by item."""
-    docs = docs.drop(into)
+    """docs with one more column, the last: the benchmark items (item_id, text) that each text holds, sorted by item.
+
+    It is called `into`, or that with underscores where docs has such a column already."""
+    into = fresh(docs, into)
     parts = max(1, -(-total_bytes(benchmark) // PART_BYTES))
     part = F.pmod(F.xxhash64("item_id", "text"), F.lit(parts))
-    out = docs.withColumn(into, F.array().cast(f"array<{MATCH}>")) if parts > 1 else docs
+    out = docs
     for k in range(parts):
         rows = benchmark.where(part == k).select(F.col("item_id").cast("long"), "text").orderBy("item_id", "text").toArrow()
         index = build_index(rows.column("item_id").to_pylist(), [x or "" for x in rows.column("text").to_pylist()], least)
-        if parts == 1:
-            return _scan(docs, index, into, least, threshold)
-        out = _scan(out, index, f"_{into}_{k}", least, threshold)
-        out = out.withColumn(into, F.concat(into, f"_{into}_{k}")).drop(f"_{into}_{k}")
-    return out.withColumn(into, F.array_sort(into))
+        if not k:
+            out = _scan(out, index, into, least, threshold)
+            continue
+        more = fresh(out, "_more")
+        out = _scan(out, index, more, least, threshold)
+        out = out.withColumn(into, F.concat(into, more)).drop(more)
+    return out.withColumn(into, F.array_sort(into)) if parts > 1 else out
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, threshold: float = THRESHOLD) -> DataFrame:
