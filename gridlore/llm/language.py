@@ -2,16 +2,23 @@
 
 Each language has a hashed byte-trigram model, learnt from labelled texts. A word's likelihood in a
 language is the product over its trigrams; a document is a mixture of languages, and expectation-
-maximisation over its words estimates the proportions. Nested language sets, in the order of the
-proportions under all languages, are compared by penalised likelihood (each further language costs
-`penalty` + half the logarithm of the number of words), and the chosen set's proportions are the answer.
+maximisation over its words estimates the proportions until they settle. Nested language sets, in the order
+of the proportions under all languages, are compared by penalised likelihood (each further language costs
+`penalty` + half the logarithm of the number of words), and the chosen set's proportions are the answer. All
+sizes of sets are open; a document leaves the search when not even the likelihood under all languages could
+pay for a larger one.
+
+`known` tells whether the chosen mixture explains at least half of the words better than trigrams drawn evenly
+from all bins would: text of no learnt language, or of none at all, is not known. Words have one vote each, so
+that a long key or address does not outweigh the prose around it.
 
 The model is fit on a hash sample of about TRAIN_ROWS labelled rows (all of them if there are fewer);
 prediction reads each whole text, and nothing but the text.
 
-Edge cases: a null text, or one without a letter, is `und` with score 0; without labelled rows every
+Edge cases: a null text, or one without a letter, is `und` with score 0 and not known; without labelled rows every
 text is `und`; rows with a null doc_id are not learnt from; a text with letters but no known trigram
-still gets a learnt language; extra columns are kept by `identify`.
+still gets a learnt language; equal likelihoods go to the language that is first by name; repeated rows get equal
+answers; an empty table gives an empty result; extra columns are kept by `identify`, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridlore.llm.common import byte_chunks
+from gridlore.llm.common import byte_chunks, fresh
 from gridlore.llm.hashing import Texts
 
 #: Labelled rows that the model is fit on, about.
@@ -72,10 +79,9 @@ def learn(labelled: DataFrame, rows: int = TRAIN_ROWS) -> Model:
 
     def count(batches):
         total: dict[str, np.ndarray] = {}
-        for batch in batches:
-            texts = [x.lower() for x in batch.column("text").to_pylist()]
-            for i, lang in enumerate(batch.column("lang").to_pylist()):
-                t = Texts([texts[i].encode()])
+        for part, texts in byte_chunks(batches, "text"):
+            for x, lang in zip(texts, part.column("lang").to_pylist(), strict=True):
+                t = Texts([x.decode().lower().encode()])
                 s, e, _ = lettered_words(t)
                 inside = np.zeros(len(t.buf) + 1, np.int32)
                 inside[s] += 1
@@ -94,71 +100,103 @@ def learn(labelled: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     return Model(names, np.log(counts / counts.sum(1, keepdims=True)))
 
 
-def mixture(e: np.ndarray, first: np.ndarray, allowed: np.ndarray, rounds: int, theta: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """EM over words: e holds each word's likelihoods (a row each, scaled), first each document's first word; every
-    document has words. Returns proportions and log-likelihoods by document."""
+#: EM ends for a document when no proportion moves by more than this in a round, or after so many rounds.
+SETTLED, MOST_ROUNDS = 1e-3, 200
+
+
+def mixture(e: np.ndarray, first: np.ndarray, theta: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """EM over words: e holds each word's likelihoods (a row each, scaled), first each document's first word, theta the
+    proportions to begin with; every document has words. Returns proportions and log-likelihoods by document."""
     size = np.diff(np.append(first, len(e)))
-    theta = allowed / allowed.sum(1, keepdims=True) if theta is None else theta * allowed
     theta = theta / np.maximum(theta.sum(1, keepdims=True), 1e-300)
-    for _ in range(rounds):
-        joint = e * np.repeat(theta, size, axis=0)
+    out = theta.copy()
+    live, x, n, begin = np.arange(len(first)), e, size, first
+    for _ in range(MOST_ROUNDS):
+        joint = x * np.repeat(theta, n, axis=0)
         joint /= np.maximum(joint.sum(1, keepdims=True), 1e-300)
-        theta = np.add.reduceat(joint, first) / size[:, None]
-    fit = np.log(np.maximum((e * np.repeat(theta, size, axis=0)).sum(1), 1e-300))
-    return theta, np.add.reduceat(fit, first)
-
-
-def infer(texts: list[str], model: Model, penalty: float = 4.0, most: int = 4) -> list[tuple[str, float, dict[str, float]]]:
-    """Language, its proportion, and all proportions of each text."""
-    out = [("und", 0.0, {})] * len(texts)
+        new = np.add.reduceat(joint, begin) / n[:, None]
+        moves = np.abs(new - theta).max(1) > SETTLED
+        out[live] = theta = new
+        if not moves.any():
+            break
+        if moves.mean() < 0.7:
+            x, theta, live, n = x[np.repeat(moves, n)], theta[moves], live[moves], n[moves]
+            begin = np.cumsum(n) - n
+    fit = np.log(np.maximum((e * np.repeat(out, size, axis=0)).sum(1), 1e-300))
+    return out, np.add.reduceat(fit, first)
+
+
+def choose(e: np.ndarray, first: np.ndarray, penalty: float) -> np.ndarray:
+    """Proportions under the best language set of each document."""
+    n = e.shape[1]
+    size = np.diff(np.append(first, len(e)))
+    cost = penalty + 0.5 * np.log(size)
+    full, most = mixture(e, first, np.ones((len(first), n)))
+    rank = np.argsort(np.argsort(-full, axis=1, kind="stable"), axis=1)
+    one = rank < 1
+    fit = np.log(np.maximum((e * np.repeat(one, size, axis=0)).sum(1), 1e-300))
+    best, best_score = one.astype(float), np.add.reduceat(fit, first)
+    for m in range(2, n + 1):
+        # No set fits better than all languages do, but for the round in which EM stopped.
+        open_ = np.flatnonzero(most + 0.01 * size - (m - 1) * cost > best_score)
+        if not len(open_):
+            break
+        wanted = np.zeros(len(first), bool)
+        wanted[open_] = True
+        x, begin = e[np.repeat(wanted, size)], np.cumsum(size[open_]) - size[open_]
+        theta, fit = mixture(x, begin, np.where(rank[open_] < m, full[open_] + 1e-6, 0))
+        score = fit - (m - 1) * cost[open_]
+        better = score > best_score[open_]
+        at = open_[better]
+        best[at], best_score[at] = theta[better], score[better]
+    return best
+
+
+def infer(texts: list[str], model: Model, penalty: float = 4.0) -> list[tuple[str, float, dict[str, float], bool]]:
+    """Language, its proportion, all proportions and whether the text is known, of each text."""
+    out: list[tuple[str, float, dict[str, float], bool]] = [("und", 0.0, {}, False)] * len(texts)
     if not model.languages:
         return out
     t = Texts([x.lower().encode() for x in texts])
     start, end, doc = lettered_words(t)
     if not len(start):
-        return [(model.languages[0], 0.0, {}) if has_letter(x) else o for x, o in zip(texts, out, strict=True)]
+        return [(model.languages[0], 0.0, {}, False) if has_letter(x) else o for x, o in zip(texts, out, strict=True)]
     b = bins(t.buf)
     fits = np.empty((len(start), len(model.languages)))
     for k, logs in enumerate(model.logs):
         total = np.concatenate(([0.0], np.cumsum(logs[b])))
         fits[:, k] = total[end] - total[start]
-    e = np.exp(fits - fits.max(1, keepdims=True))
+    top = fits.max(1)
     here, first = np.unique(doc, return_index=True)
-    size = np.diff(np.append(first, len(e)))
-    n = len(model.languages)
-    full, _ = mixture(e, first, np.ones((len(here), n)), 6)
-    rank = np.argsort(np.argsort(-full, axis=1, kind="stable"), axis=1)
-    best, best_score = None, None
-    for m in range(1, min(most, n) + 1):
-        theta, fit = mixture(e, first, (rank < m).astype(float), 4 if m > 1 else 0, full if m > 1 else None)
-        score = fit - (m - 1) * (penalty + 0.5 * np.log(size))
-        if best is None:
-            best, best_score = theta, score
-        else:
-            better = score > best_score
-            best[better], best_score[better] = theta[better], score[better]
-    top = best.argmax(1)
+    size = np.diff(np.append(first, len(fits)))
+    scaled = np.exp(fits - top[:, None])
+    best = choose(scaled, first, penalty)
+    each = np.log(np.maximum((scaled * np.repeat(best, size, axis=0)).sum(1), 1e-300)) + top
+    known = np.add.reduceat(each >= -np.log(1 << BITS) * (end - start), first, dtype=np.int64) * 2 >= size
     for i, d in enumerate(here.tolist()):
         shares = {model.languages[k]: float(best[i, k]) for k in np.flatnonzero(best[i] > 0)}
-        out[d] = (model.languages[top[i]], min(1.0, float(best[i, top[i]])), shares)
-    return [o if o[0] == "und" or has_letter(x) else ("und", 0.0, {}) for x, o in zip(texts, out, strict=True)]
+        k = best[i].argmax()
+        out[d] = (model.languages[k], min(1.0, float(best[i, k])), shares, bool(known[i]))
+    return [o if o[0] == "und" or has_letter(x) else ("und", 0.0, {}, False) for x, o in zip(texts, out, strict=True)]
 
 
-RESULT = "struct<lang_pred:string,score:double,languages:map<string,double>>"
+RESULT = "struct<lang_pred:string,score:double,languages:map<string,double>,known:boolean>"
 
 
 def identify(docs: DataFrame, model: Model, into: str = "language", chunk: int = 1 << 20) -> DataFrame:
-    """docs with a column (lang_pred, score, languages), whatever other columns it has."""
-    kind = pa.struct([("lang_pred", pa.string()), ("score", pa.float64()), ("languages", pa.map_(pa.string(), pa.float64()))])
+    """docs with one more column, the last: (lang_pred, score, languages, known). It is called `into`, or that with
+    underscores where docs has such a column already."""
+    kind = pa.struct([("lang_pred", pa.string()), ("score", pa.float64()), ("languages", pa.map_(pa.string(), pa.float64())), ("known", pa.bool_())])
+    into = fresh(docs, into)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def work(batches):
         for part, texts in byte_chunks(batches, "text", chunk):
-            found = infer([x.decode() for x in texts], model)
-            yield part.append_column(into, pa.array([{"lang_pred": a, "score": s, "languages": list(m.items())} for a, s, m in found], kind))
+            found = infer([x.decode() for x in texts], shared.value)
+            yield part.append_column(into, pa.array([{"lang_pred": a, "score": s, "languages": list(m.items()), "known": k} for a, s, m, k in found], kind))
 
-    kept = docs.drop(into)
-    schema = T.StructType([*kept.schema.fields, T.StructField(into, T._parse_datatype_string(RESULT))])
-    return kept.mapInArrow(work, schema)
+    schema = T.StructType([*docs.schema.fields, T.StructField(into, T._parse_datatype_string(RESULT))])
+    return docs.mapInArrow(work, schema)
 
 
 def bucket(doc_id) -> F.Column:
