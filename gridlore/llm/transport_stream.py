@@ -5,9 +5,13 @@ packet with a time stamp that begins with a random-access point. `demux` reads a
 the program tables and checks their CRC, follows the continuity counters, reassembles the elementary
 packets and lists the units with time stamps and random-access points.
 
-Edge cases: a null text is an empty payload, padded to one block; payloads have no size limit, since they
-are split into access units; a stream that is not whole packets, or that has lost packets, raises in
-`demux_bytes` or is counted in continuity_errors; extra columns are ignored.
+Edge cases: a null text is an empty payload, padded to one block; payloads have no size limit of their own, since
+they are split into access units; equal texts and repeated rows have equal streams. `demux` never fails on a row: a
+null stream has a null payload; of a stream that cannot be read (not whole packets, no sync byte, no program
+table or map, a table whose CRC fails, an elementary packet without a start code) the row keeps the stream and
+tells why in `error`; lost packets are counted in continuity_errors, a packet sent twice or after an announced
+discontinuity is no error, and a unit cut short by a loss keeps what has come. Extra columns are ignored, whatever
+their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -17,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridlore.llm.common import column_bytes
+from gridlore.llm.common import byte_chunks
 
 #: Fixed values of ISO/IEC 13818-1.
 PACKET, SYNC, PAT_PID = 188, 0x47, 0x0000
@@ -31,7 +35,7 @@ BLOCK = 64
 
 _UNITS = pa.list_(pa.struct([("pts", pa.int64()), ("offset", pa.int64()), ("size", pa.int64()), ("random_access", pa.bool_())]))
 STREAM = "doc_id long, n_bytes long, media binary"
-READ = "doc_id long, n_bytes long, media binary, payload binary, program int, pid int, stream_type int, packets long, continuity_errors long, units array<struct<pts:long,offset:long,size:long,random_access:boolean>>"
+READ = "doc_id long, n_bytes long, media binary, payload binary, program int, pid int, stream_type int, packets long, continuity_errors long, units array<struct<pts:long,offset:long,size:long,random_access:boolean>>, error string"
 
 
 def crc32_mpeg(data: bytes) -> int:
@@ -114,7 +118,7 @@ def checked_section(packet: bytes) -> bytes:
         at = 1 + packet[0]
         size = int.from_bytes(packet[at + 1 : at + 3], "big") & 0x0FFF
         whole = packet[at : at + 3 + size]
-        if crc32_mpeg(whole):
+        if size < 9 or len(whole) < 3 + size or crc32_mpeg(whole):
             raise ValueError("a program table fails its CRC")
         if len(_checked) > 256:
             _checked.clear()
@@ -122,8 +126,36 @@ def checked_section(packet: bytes) -> bytes:
     return _checked[packet]
 
 
+def payload_of(packet: np.ndarray) -> bytes:
+    """What a packet carries after its adaptation field."""
+    return packet[4 + (int(packet[4]) + 1 if packet[3] & 0x20 else 0) :].tobytes() if packet[3] & 0x10 else b""
+
+
+def first_section(packets: np.ndarray, name: str) -> bytes:
+    """The body of the first table that begins in these packets."""
+    begins = np.flatnonzero(packets[:, 1] & 0x40)
+    if not len(begins):
+        raise ValueError(f"the stream has no {name}")
+    body = checked_section(payload_of(packets[begins[0]]))
+    if len(body) < 4:
+        raise ValueError(f"the {name} is empty")
+    return body
+
+
+def once(packets: np.ndarray) -> tuple[np.ndarray, int]:
+    """One stream's packets with a payload, without those sent twice, and the number of breaks in their counters."""
+    p = packets[packets[:, 3] & 0x10 > 0]
+    if len(p) < 2:
+        return p, 0
+    counter = p[:, 3].astype(np.int32) & 15
+    step = np.diff(counter) & 15
+    twice = (step == 0) & (p[1:, 4:] == p[:-1, 4:]).all(1)
+    announced = (p[1:, 3] & 0x20 > 0) & (p[1:, 4] > 0) & (p[1:, 5] & 0x80 > 0)
+    return p[np.concatenate(([True], ~twice))], int(((step != 1) & ~twice & ~announced).sum())
+
+
 def demux_bytes(media: bytes) -> dict:
-    """payload, program, pid, stream_type, packets, continuity_errors and units of a stream with one program."""
+    """payload, program, pid, stream_type, packets, continuity_errors and units of a stream with one program; ValueError where it cannot be read."""
     if len(media) % PACKET:
         raise ValueError("the stream is not whole packets")
     p = np.frombuffer(media, np.uint8).reshape(-1, PACKET)
@@ -131,23 +163,22 @@ def demux_bytes(media: bytes) -> dict:
         raise ValueError("a packet lacks its sync byte")
     pid = (p[:, 1].astype(np.int32) & 0x1F) << 8 | p[:, 2]
     out = {"payload": b"", "program": None, "pid": None, "stream_type": None, "packets": len(p), "continuity_errors": 0, "units": []}
-    tables = np.flatnonzero(pid == PAT_PID)
-    if not len(tables):
+    if not len(p):
         return out
-    pat = checked_section(p[tables[0]].tobytes()[4:])
+    tables = p[pid == PAT_PID]
+    pat = first_section(tables, "program table")
     out["program"], pmt_pid = int.from_bytes(pat[:2], "big"), int.from_bytes(pat[2:4], "big") & 0x1FFF
-    maps = np.flatnonzero(pid == pmt_pid)
-    pmt = checked_section(p[maps[0]].tobytes()[4:])
+    maps = p[pid == pmt_pid]
+    pmt = first_section(maps, "program map")
     skip = 4 + (int.from_bytes(pmt[2:4], "big") & 0x0FFF)
+    if len(pmt) < skip + 5:
+        raise ValueError("the program map names no stream")
     out["stream_type"], out["pid"] = pmt[skip], int.from_bytes(pmt[skip + 1 : skip + 3], "big") & 0x1FFF
 
-    for x in (PAT_PID, pmt_pid, out["pid"]):
-        counter = p[(pid == x) & (p[:, 3] & 0x10 > 0), 3].astype(np.int32) & 15
-        out["continuity_errors"] += int(((np.diff(counter) & 15) != 1).sum())
-    es = p[pid == out["pid"]]
+    es, out["continuity_errors"] = once(p[pid == out["pid"]])
+    out["continuity_errors"] += once(tables)[1] + once(maps)[1]
     adapted = es[:, 3] & 0x20 > 0
-    offset = 4 + np.where(adapted, es[:, 4].astype(np.int64) + 1, 0)
-    offset[es[:, 3] & 0x10 == 0] = PACKET
+    offset = np.minimum(4 + np.where(adapted, es[:, 4].astype(np.int64) + 1, 0), PACKET)
     data = es[np.arange(PACKET) >= offset[:, None]].tobytes()
     end = np.cumsum(PACKET - offset)
     begins = np.flatnonzero(es[:, 1] & 0x40)
@@ -156,11 +187,11 @@ def demux_bytes(media: bytes) -> dict:
         a = int(end[i] - (PACKET - offset[i]))
         b = int(end[begins[k + 1] - 1]) if k + 1 < len(begins) else len(data)
         pes = data[a:b]
-        if pes[:3] != b"\0\0\1":
+        if len(pes) < 9 or pes[:3] != b"\0\0\1":
             raise ValueError("an elementary packet lacks its start code")
         size = int.from_bytes(pes[4:6], "big")
         unit = pes[9 + pes[8] : 6 + size if size else None]
-        stamped = pes[7] & 0x80
+        stamped = pes[7] & 0x80 and len(pes) >= 14
         parts.append(unit)
         out["units"].append({"pts": unstamp(pes[9:14]) if stamped else None, "offset": at, "size": len(unit), "random_access": bool(adapted[i] and es[i, 4] and es[i, 5] & 0x40)})
         at += len(unit)
@@ -168,33 +199,45 @@ def demux_bytes(media: bytes) -> dict:
     return out
 
 
+_NOTHING = {"payload": None, "program": None, "pid": None, "stream_type": None, "packets": None, "continuity_errors": None, "units": None}
+
+
+def read_stream(media: bytes | None) -> dict:
+    """What `demux_bytes` reads, with `error`: why a stream cannot be read, or null."""
+    if media is None:
+        return {**_NOTHING, "error": None}
+    try:
+        return {**demux_bytes(media), "error": None}
+    except ValueError as wrong:
+        return {**_NOTHING, "error": str(wrong)}
+
+
+#: Octets of text or stream that are held as Python objects at once, one row at least.
+AT_ONCE = 4 << 20
+
+
 def mux(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """doc_id, n_bytes and media: each text's UTF-8, zeros appended up to a positive multiple of block, as a stream."""
 
     def work(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                texts = column_bytes(part.column("text"))
-                media = [mux_bytes(x.ljust(max(block, -(-len(x) // block) * block), b"\0")) for x in texts]
-                yield pa.record_batch({"doc_id": part.column("doc_id").cast(pa.int64()), "n_bytes": pa.array(list(map(len, texts)), pa.int64()), "media": pa.array(media, pa.binary())})
+        for part, texts in byte_chunks(batches, "text", AT_ONCE):
+            media = [mux_bytes(x.ljust(max(block, -(-len(x) // block) * block), b"\0")) for x in texts]
+            yield pa.record_batch({"doc_id": part.column("doc_id").cast(pa.int64()), "n_bytes": pa.array(list(map(len, texts)), pa.int64()), "media": pa.array(media, pa.binary())})
 
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(work, STREAM)
 
 
 def demux(streams: DataFrame) -> DataFrame:
-    """The streams with payload, program, pid, stream_type, packets, continuity_errors and units."""
+    """The streams (doc_id, n_bytes, media) with payload, program, pid, stream_type, packets, continuity_errors, units and error."""
 
     def work(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                read = [demux_bytes(x) for x in part.column("media").to_pylist()]
-                get = lambda k, kind: pa.array([x[k] for x in read], kind)  # noqa: B023, E731
-                yield pa.record_batch({
-                    "doc_id": part.column("doc_id"), "n_bytes": part.column("n_bytes"), "media": part.column("media"),
-                    "payload": get("payload", pa.binary()), "program": get("program", pa.int32()), "pid": get("pid", pa.int32()), "stream_type": get("stream_type", pa.int32()),
-                    "packets": get("packets", pa.int64()), "continuity_errors": get("continuity_errors", pa.int64()), "units": get("units", _UNITS),
-                })
+        for part, _ in byte_chunks(batches, "media", AT_ONCE):
+            read = [read_stream(x) for x in part.column("media").to_pylist()]
+            get = lambda k, kind: pa.array([x[k] for x in read], kind)  # noqa: B023, E731
+            yield pa.record_batch({
+                "doc_id": part.column("doc_id"), "n_bytes": part.column("n_bytes"), "media": part.column("media"),
+                "payload": get("payload", pa.binary()), "program": get("program", pa.int32()), "pid": get("pid", pa.int32()), "stream_type": get("stream_type", pa.int32()),
+                "packets": get("packets", pa.int64()), "continuity_errors": get("continuity_errors", pa.int64()), "units": get("units", _UNITS), "error": get("error", pa.string()),
+            })
 
     return streams.select("doc_id", "n_bytes", "media").mapInArrow(work, READ)
