@@ -7,16 +7,21 @@
    then cells in hash order, the last one document by document.
 3. Splitting tree: each node hands a uniformly random half of its quota tokens, drawn without
    replacement, to the left and the rest to the right, so the sources' counts in a child are
-   multivariate hypergeometric and add up exactly.
+   multivariate hypergeometric and add up exactly. The half is found in two steps, by a hash's slices and
+   then inside the slice that the half ends in, so that no task orders all tokens of a node.
 4. Each source's blocks are permuted and cut by the leaves' quotas, so shards draw disjoint blocks; a
    hash orders the documents in a shard (`order_key`), so the shuffle is local.
 
 A hot source is spread over its cells, and sums are aggregated before each shuffle; the tables of
-cells and tokens have at most CELLS rows a source and pass, whatever the corpus.
+cells and tokens have at most CELLS rows a source and pass, whatever the corpus. The cell that a quota ends in is
+taken document by document: its part cells are summed first, so that only the documents of one of them, about one
+in CELLS squared of a source, are ordered in one task.
 
 Edge cases: a null text has no words; a null source is a source of its own, the last; documents without
-words are taken as often as their cell; repeated rows are documents of their own with equal keys; an
-empty table gives an empty result; extra columns are ignored.
+words are taken as often as their cell; rows with a null doc_id are documents with one key; repeated rows are
+documents of their own with equal keys, and the order of equal keys is that of their sizes; an empty table gives
+an empty result; extra columns are ignored, or kept if `carry` names them, whatever their names: `source`, `size`
+and the other columns of the result cannot be carried.
 """
 
 from __future__ import annotations
@@ -31,10 +36,13 @@ CELL_BITS = 10
 #: Levels of the tree: 2**LEVELS output shards.
 LEVELS = 4
 
-#: The table of cells is broadcast up to so many rows, and joined by a shuffle beyond.
+#: The table of cells is broadcast up to so many rows (about 40 MB), and joined by a shuffle beyond; rows are the same.
 SMALL_ROWS = 200_000
+#: Slices of a node's tokens.
+SLICE_BITS = 10
 
 WEIGHTS = (5.0, 2.0, 1.0)
+RESULT = ("doc_id", "source", "size", "source_size", "target", "draws")
 
 
 def word_count(text: Column) -> Column:
@@ -61,18 +69,30 @@ def split_quotas(tokens: DataFrame, levels: int, seed: int) -> DataFrame:
     """shard, source, quota: the tree over tokens, a row a block with its source and token number."""
     x = tokens.select("source", "token", F.lit(0).alias("node"))
     for level in range(levels):
-        draw = Window.partitionBy("node").orderBy(F.xxhash64(F.lit(seed + level), "source", "token"), "source", "token")
-        half = F.floor((F.count(F.lit(1)).over(Window.partitionBy("node")) + F.col("node") % 2) / 2)
-        x = x.withColumn("right", (F.row_number().over(draw) > half).cast("int"))
-        x = x.select("source", "token", (F.col("node") * 2 + F.col("right")).alias("node"))
+        x = x.withColumn("draw", F.xxhash64(F.lit(seed + level), "source", "token"))
+        x = x.withColumn("slice", F.shiftrightunsigned("draw", 64 - SLICE_BITS))
+        slices = x.groupBy("node", "slice").agg(F.count(F.lit(1)).alias("n"))
+        before = Window.partitionBy("node").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+        half = F.floor((F.sum("n").over(Window.partitionBy("node")) + F.col("node") % 2) / 2)
+        # What is left of the half when a slice begins.
+        slices = slices.select("node", "slice", (half - F.coalesce(F.sum("n").over(before), F.lit(0))).alias("left"))
+        place = Window.partitionBy("node", "slice").orderBy("draw", "source", "token")
+        x = x.withColumn("place", F.row_number().over(place)).join(slices, ["node", "slice"])
+        x = x.select("source", "token", (F.col("node") * 2 + (F.col("place") > F.col("left")).cast("int")).alias("node"))
+        if level % 4 == 3 and level + 1 < levels:
+            x = cut(x)
     return x.groupBy(F.col("node").alias("shard"), "source").agg(F.count(F.lit(1)).alias("quota"))
 
 
-def mix_sources(docs: DataFrame, weights: tuple = WEIGHTS, share: float = 1.5, most: float = 2.0, seed: int = 17, cell_bits: int = CELL_BITS, levels: int = LEVELS, carry: tuple = ()) -> DataFrame:
+def mix_sources(docs: DataFrame, weights: tuple = WEIGHTS, share: float = 1.5, most: float = 2.0, seed: int = 17, cell_bits: int = CELL_BITS, levels: int = LEVELS, carry: tuple = (), small_rows: int = SMALL_ROWS) -> DataFrame:
     """doc_id, source, size, source_size, target, and draws: (shard, order_key) of each copy the mix takes; carry names further columns to keep."""
-    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64(F.lit(seed), F.col("doc_id")).alias("key"), *carry)
+    named = [c for c in carry if c in RESULT]
+    if named:
+        raise ValueError(f"the result has columns {named} of its own")
+    kept = {c: f"_carried_{i}" for i, c in enumerate(carry)}
+    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64(F.lit(seed), F.col("doc_id")).alias("key"), *(F.col(f"`{c}`").alias(k) for c, k in kept.items()))
     sized = sized.withColumn("cell", F.shiftrightunsigned("key", 64 - cell_bits))
-    base = cut(sized.drop(*carry))
+    base = cut(sized.drop(*kept.values()))
     cells = cut(base.groupBy("source", "cell").agg(F.sum("size").alias("cell_size")))
     goal = targets(cells.groupBy("source").agg(F.sum("cell_size").alias("source_size")), weights, share, most)
     passes = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("int")
@@ -86,22 +106,38 @@ def mix_sources(docs: DataFrame, weights: tuple = WEIGHTS, share: float = 1.5, m
     block = planned.where(F.col("blocks") > 0).select("source", "cell", F.explode(F.sequence(F.lit(1), "blocks")).alias("copy"))
     permuted = block.withColumn("token", F.row_number().over(Window.partitionBy("source").orderBy(F.xxhash64(F.lit(seed + 100), "cell", "copy"), "cell", "copy")))
     quotas = split_quotas(permuted, levels, seed + 200)
+    # A block goes to the first shard whose quota, summed over the shards before it, reaches the block's number.
     last = F.sum("quota").over(Window.partitionBy("source").orderBy("shard").rowsBetween(Window.unboundedPreceding, 0))
-    ranges = quotas.withColumn("last", last).withColumn("first", F.col("last") - F.col("quota") + 1).groupBy(F.col("source").alias("s")).agg(F.array_sort(F.collect_list(F.struct("last", "shard"))).alias("cuts"))
-    drawn = permuted.join(ranges, F.col("source").eqNullSafe(F.col("s")))
-    shard = F.element_at(F.filter("cuts", lambda c: c["last"] >= F.col("token")), 1)["shard"]
-    shards = drawn.withColumn("shard", shard).groupBy(F.col("source").alias("s"), F.col("cell").alias("c")).agg(F.transform(F.array_sort(F.collect_list(F.struct("copy", "shard"))), lambda x: x["shard"]).alias("shards"))
+    marks = quotas.select("source", last.alias("token"), "shard", F.lit(None).cast("long").alias("cell"), F.lit(None).cast("int").alias("copy"))
+    marks = marks.unionByName(permuted.select("source", F.col("token").cast("long").alias("token"), F.lit(None).cast("int").alias("shard"), "cell", "copy"))
+    down = Window.partitionBy("source").orderBy(F.desc("token"), F.col("cell").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    drawn = marks.withColumn("shard", F.last("shard", ignorenulls=True).over(down)).where(F.col("cell").isNotNull())
+    shards = drawn.groupBy(F.col("source").alias("s"), F.col("cell").alias("c")).agg(F.transform(F.array_sort(F.collect_list(F.struct("copy", "shard"))), lambda x: x["shard"]).alias("shards"))
 
     plan = planned.join(shards, F.col("source").eqNullSafe(F.col("s")) & (F.col("cell") == F.col("c")), "left")
     plan = plan.select(F.col("source").alias("s"), F.col("cell").alias("c"), "cell_size", "source_size", "target", "passes", "need", "more", F.coalesce("shards", F.array().cast("array<int>")).alias("shards"))
     plan = cut(plan)
-    if plan.count() <= SMALL_ROWS:
+    small = plan.count() <= small_rows
+    if small:
         plan = F.broadcast(plan)
     x = (sized if carry else base).join(plan, F.col("source").eqNullSafe(F.col("s")) & (F.col("cell") == F.col("c")))
     partly = (F.col("more") == 1) & (F.col("need") < F.col("cell_size"))
     whole = x.where(~partly).withColumn("copies", F.size("shards"))
+
+    # The cell that a quota ends in: its part cells' sums tell how much is left when a part cell begins.
+    part = F.shiftrightunsigned(F.shiftleft("key", cell_bits), 64 - cell_bits)
+    ends = planned.where(partly).select(F.col("source").alias("s"), F.col("cell").alias("c"), "need")
+    ends = base.join(F.broadcast(ends) if small else ends, F.col("source").eqNullSafe(F.col("s")) & (F.col("cell") == F.col("c")))
+    sums = ends.groupBy("s", part.alias("p")).agg(F.sum("size").alias("part_size"), F.first("need").alias("need"))
+    before = Window.partitionBy("s").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(F.col("s").alias("ps"), "p", "part_size", (F.col("need") - F.coalesce(F.sum("part_size").over(before), F.lit(0))).alias("left"))
+    cut_cell = x.where(partly).withColumn("part", part).join(sums, F.col("source").eqNullSafe(F.col("ps")) & (F.col("part") == F.col("p")))
+    split = (F.col("left") > 0) & (F.col("left") < F.col("part_size"))
+    clear = cut_cell.where(~split).withColumn("copies", F.size("shards") - (F.col("left") <= 0).cast("int"))
     edge = Window.partitionBy("source").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    cut_cell = x.where(partly).withColumn("upto", F.sum("size").over(edge))
-    cut_cell = cut_cell.withColumn("copies", F.size("shards") - (F.col("upto") - F.col("size") / 2 > F.col("need")).cast("int")).drop("upto")
+    last = cut_cell.where(split).withColumn("upto", F.sum("size").over(edge))
+    last = last.withColumn("copies", F.size("shards") - (F.col("upto") - F.col("size") / 2 > F.col("left")).cast("int")).drop("upto")
+    extra = ("part", "ps", "p", "part_size", "left")
     draws = F.transform(F.slice("shards", F.lit(1), F.col("copies")), lambda s, i: F.struct(s.alias("shard"), F.xxhash64(F.lit(seed + 300), F.col("doc_id"), i).alias("order_key")))
-    return whole.unionByName(cut_cell).select("doc_id", "source", "size", "source_size", "target", draws.alias("draws"), *carry)
+    taken = whole.unionByName(clear.drop(*extra)).unionByName(last.drop(*extra))
+    return taken.select("doc_id", "source", "size", "source_size", "target", draws.alias("draws"), *(F.col(k).alias(c) for c, k in kept.items()))
