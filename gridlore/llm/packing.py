@@ -7,15 +7,21 @@ the row with the least room that fits, found in a segment tree over the free cap
 
 A row is (pack_id, ids: little-endian matrix row padded with pad_id, n_tokens, cu_seqlens: cumulative
 segment lengths, position_resets: where positions start again at 0, doc_ids, pieces: the piece number of
-each segment). Chunks are cut by size in a task, so memory is bounded and a lost task is redone alone.
+each segment). Chunks are cut by size in a task, so memory is bounded and a lost task is redone alone. Which texts share a
+chunk, and the pack_ids, follow the input's splits: a table read from files gives the same rows again, and a
+plan that ends in a shuffle should be written first, as the pipeline does. `write_matrices` puts packed rows
+into raw binary files that a trainer can map into memory; `read_matrices` reads them.
 
 Edge cases: null and empty texts are the end token alone, so no document is lost; a null doc_id stays
-null; repeated rows are packed each; extra columns are ignored; an empty table gives an empty result.
+null; repeated rows are packed each; extra columns are ignored, whatever their names; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
 
 import base64
+import json
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from gridlore.llm.common import byte_chunks
-from gridlore.llm.hashing import Texts, mix
+from gridlore.llm.hashing import Texts
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The pre-tokeniser pattern of that vocabulary (fixed value), and its free id as end and padding.
@@ -39,7 +45,7 @@ KNOWN = 1 << 18
 
 RESULT = "pack_id long, ids binary, n_tokens int, cu_seqlens array<int>, position_resets array<int>, doc_ids array<long>, pieces array<int>"
 
-_encoders: dict[int, object] = {}
+_encoders: dict[str, object] = {}
 
 
 def read_ranks(path: str = VOCABULARY) -> dict[bytes, int]:
@@ -47,6 +53,25 @@ def read_ranks(path: str = VOCABULARY) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
+def told_apart(buf: np.ndarray, at: np.ndarray, end: np.ndarray, first: np.ndarray, back: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Groups of pieces with equal hashes, with the pieces whose bytes differ from their group's first one as groups of their own."""
+    if not len(at):
+        return first, back
+    size = end - at
+    to = np.repeat(np.cumsum(size) - size, size)
+    inside = np.arange(size.sum()) - to
+    like = at[first[back]]
+    fits = size == size[first[back]]
+    same = buf[np.repeat(at, size) + inside] == buf[np.minimum(np.repeat(like, size) + inside, len(buf) - 1)]
+    fits &= np.add.reduceat(same, np.cumsum(size) - size, dtype=np.int64) == size
+    other = np.flatnonzero(~fits)
+    if not len(other):
+        return first, back
+    back = back.copy()
+    back[other] = len(first) + np.arange(len(other))
+    return np.concatenate((first, other)), back
+
+
 class Encoder:
     """Tokenises chunks of texts; each distinct word of a chunk is encoded once.
 
@@ -79,12 +104,8 @@ class Encoder:
         mark[texts.ends] = True
         real = ~mark[at] & full
         at, end, doc = at[real], end[real], doc_of[real]
-        p = texts.prefixes()
-        from gridlore.llm.hashing import powers
-
-        _, down = powers(len(buf) + 1)
-        h = mix((p[end] - p[at]) * down[at] + (end - at).astype(np.uint64))
-        _, first, back = np.unique(h, return_index=True, return_inverse=True)
+        _, first, back = np.unique(texts.spans(at, end), return_index=True, return_inverse=True)
+        first, back = told_apart(buf, at, end, first, back)
         raw = buf.tobytes()
         got = []
         if len(self.known) > KNOWN:
@@ -214,6 +235,7 @@ def pack_documents(docs: DataFrame, ranks: dict[bytes, int] | None = None, row:
     ranks = read_ranks() if ranks is None else ranks
     kind = "<u2" if max(end_id, pad_id, max(ranks.values(), default=0)) < 1 << 16 else "<u4"
     shared = docs.sparkSession.sparkContext.broadcast(ranks)
+    key = uuid.uuid4().hex
 
     def rows(ids_, tokens, sizes, number):
         matrix, segments = pack(np.concatenate(tokens), np.concatenate(([0], np.cumsum(np.concatenate(sizes)))), row, pad_id)
@@ -232,8 +254,8 @@ def pack_documents(docs: DataFrame, ranks: dict[bytes, int] | None = None, row:
             })
 
     def work(batches):
-        key = len(shared.value)
         if key not in _encoders:
+            _encoders.clear()
             _encoders[key] = Encoder(shared.value)
         encoder = _encoders[key]
         number = TaskContext.get().partitionId() << 40
@@ -255,3 +277,40 @@ def pack_documents(docs: DataFrame, ranks: dict[bytes, int] | None = None, row:
                 number += out.num_rows
 
     return docs.select("doc_id", "text").mapInArrow(work, RESULT)
+
+
+MANIFEST = "matrix string, segments string, rows long, row int, kind string"
+
+
+def write_matrices(packs: DataFrame, path: str, row: int = ROW) -> DataFrame:
+    """The packed rows as binary files in a folder that driver and executors share (a path or URI that pyarrow opens).
+
+    A task writes a matrix file (its ids, row after row, little-endian) and a segments file with one JSON line a row
+    (pack_id, n_tokens, cu_seqlens, position_resets, doc_ids, pieces). The returned manifest names the files and their
+    shape. Files are named by partition and attempt, so a task that runs again leaves files that the manifest does not name."""
+    names = ("pack_id", "n_tokens", "cu_seqlens", "position_resets", "doc_ids", "pieces")
+
+    def work(batches):
+        from pyarrow import fs
+
+        system, base = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+        system.create_dir(base, recursive=True)
+        task = TaskContext.get()
+        stem = f"{base.rstrip('/')}/part-{task.partitionId():06d}-{task.taskAttemptId()}"
+        rows, width = 0, 0
+        with system.open_output_stream(f"{stem}.ids") as matrix, system.open_output_stream(f"{stem}.jsonl") as segments:
+            for batch in batches:
+                for r in batch.to_pylist():
+                    width = len(r["ids"])
+                    matrix.write(r["ids"])
+                    segments.write((json.dumps({k: r[k] for k in names}) + "\n").encode())
+                    rows += 1
+        if rows:
+            yield pa.record_batch({"matrix": [f"{stem}.ids"], "segments": [f"{stem}.jsonl"], "rows": pa.array([rows], pa.int64()), "row": pa.array([row], pa.int32()), "kind": [f"<u{width // row}"]})
+
+    return packs.select("ids", *names).mapInArrow(work, MANIFEST)
+
+
+def read_matrices(matrix: str, row: int, kind: str) -> np.ndarray:
+    """One matrix file of the manifest, mapped into memory."""
+    return np.memmap(matrix, kind, "r").reshape(-1, row)
