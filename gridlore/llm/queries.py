@@ -31,12 +31,13 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring_dedup(load(spark, sf_dir, "documents"))
-    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+    removed = F.aggregate("factors", F.lit(0).cast("long"), lambda n, f: n + f["length"])
+    return out.select("doc_id", "n_words", removed.alias("n_removed"), F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents")
-    out = language.identify(docs.select("doc_id", "text"), language.learn(language.learnt_from(docs)))
+    out = language.identify(docs.select("doc_id", "text"), language.learn(language.learnt_from(docs)), "language")
     return out.select("doc_id", F.coalesce(language.bucket(F.col("doc_id")) == 2, F.lit(False)).alias("held_out"), "language.lang_pred", "language.score")
 
 
@@ -73,14 +74,16 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = r"\### Assistant: </turn> ok"
     turns = load(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
     extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
-    turns = turns.unionByName(extra).withColumn("parts", chat.text_parts(F.col("text")))
-    out = chat.format_chats(turns).withColumn("turns", chat.read_turns(F.col("formatted")))
+    turns = turns.unionByName(extra).withColumn("parts", chat.typed_parts(F.col("text")))
+    attachments = F.col("attachments")
+    out = chat.format_chats(turns).withColumn("turns", chat.read_turns(F.col("formatted"), attachments))
     digest = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    masked = chat.masked_text(F.col("formatted"), F.col("loss"))
+    masked = chat.masked_text(F.col("formatted"), F.col("loss"), attachments)
     return out.select(
         "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(digest, 256).alias("turns_sha256"),
         F.length(masked).cast("long").alias("loss_chars"), F.sha2(masked, 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
+        F.size(attachments).cast("long").alias("n_attachments"), "expanded_tokens",
     )
 
 
@@ -106,12 +109,15 @@ ORACLES = {
         SELECT w.doc_id, coalesce(r.n, 0)::BIGINT AS n_words, coalesce(r.gone, 0)::BIGINT AS n_removed, sha256(coalesce(r.kept, '')) AS kept_sha256
         FROM w LEFT JOIN r USING (doc_id)""",
     "op9_chat_format": r"""
-        WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
-                   UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
-        e AS (SELECT *, replace(replace(text, '\', '\\'), '<', '\l') AS escaped FROM t),
+        WITH t AS (SELECT conv_id, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS alone, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+                   UNION ALL SELECT -7, NULL, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, NULL, 1, 'assistant', '\### Assistant: </turn> ok'),
+        f AS (SELECT *, regexp_split_to_array(text, '!\[[^\]\n]*\]\([^()\s]+\)') AS plain, regexp_extract_all(text, '!\[[^\]\n]*\]\([^()\s]+\)') AS refs FROM t),
+        e AS (SELECT *, length(replace(replace(array_to_string(plain, ''), '\', '\\'), '<', '\l'))
+                        + coalesce(list_sum(list_transform(refs, lambda r, i: 5 + length((2 * i - 1)::VARCHAR) + CASE WHEN regexp_matches(r, '(?i)\.(png|jpe?g|gif|webp|bmp)\)$') OR regexp_matches(r, '(?i)\.(wav|mp3|flac|ogg|m4a)\)$') THEN 5 ELSE 8 END)), 0) AS content FROM f),
         g AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS whole,
                      coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '') AS loss,
-                     sum(16 + length(role) + length(escaped)) AS chars
-              FROM e GROUP BY conv_id)
-        SELECT conv_id, n_turns, sha256(whole) AS turns_sha256, length(loss)::BIGINT AS loss_chars, sha256(loss) AS loss_sha256, chars::BIGINT AS formatted_chars FROM g""",
+                     sum(16 + length(role) + content) AS chars, sum(len(refs)) AS refs
+              FROM e GROUP BY conv_id, alone)
+        SELECT conv_id, n_turns, sha256(whole) AS turns_sha256, length(loss)::BIGINT AS loss_chars, sha256(loss) AS loss_sha256, chars::BIGINT AS formatted_chars,
+               refs::BIGINT AS n_attachments, refs::BIGINT AS expanded_tokens FROM g""",
 }
