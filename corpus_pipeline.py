@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read
 again as the next stage's docs. All but the last return the columns of documents.
+
+Edge cases, in every stage: null, empty and very long texts, repeated rows and ties are treated as the stage's
+operator says; an empty table gives an empty result; columns beyond those of documents are dropped, whatever
+their names. A null or letterless text goes in the first stage, since it has no language.
 """
 
 from __future__ import annotations
@@ -12,18 +16,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridlore.llm import decontaminate, language, mixing, near_dedup, packing
-from gridlore.llm.common import cut, load
+from gridlore.llm.common import cut, load, release, total_bytes
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
-#: Documents that an output shard of the mix holds, about.
-SHARD_ROWS = 50_000
+#: Octets of text that an output shard of the mix holds, about.
+SHARD_BYTES = 32 << 20
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any letter (`und`) go; all others stay."""
-    found = language.identify(docs, language.learn(language.learnt_from(docs)), into="_language")
-    return found.where(F.col("_language.lang_pred") != "und").select(*COLUMNS)
+    """Documents whose words the learnt languages explain stay; those without a letter, and those of which over half of
+    the words are better explained by chance, go."""
+    found = language.identify(docs, language.learn(language.learnt_from(docs)))
+    return found.where(F.col(found.columns[-1])["known"]).select(*COLUMNS)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,8 +43,8 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for each copy that the mix draws, shard by shard in the shard's order."""
-    levels = max(mixing.LEVELS, math.ceil(math.log2(max(1, docs.count()) * 1.5 / SHARD_ROWS)))
-    drawn = mixing.mix_sources(docs, levels=levels, carry=("text", "lang", "n_chars"))
+    levels = max(mixing.LEVELS, math.ceil(math.log2(max(1, total_bytes(docs)) * 1.5 / SHARD_BYTES)))
+    drawn = mixing.mix_sources(docs, levels=levels, cell_bits=max(mixing.CELL_BITS, levels), carry=("text", "lang", "n_chars"))
     copies = drawn.select(*COLUMNS, F.explode("draws").alias("_draw"))
     return copies.repartition(F.col("_draw.shard")).sortWithinPartitions("_draw.shard", "_draw.order_key").select(*COLUMNS)
 
@@ -64,5 +69,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir))
+        before, docs = docs, cut(stage(spark, docs, sf_dir))
+        release(before)
     return STAGES[-1][1](spark, docs, sf_dir)
