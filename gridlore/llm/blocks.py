@@ -131,9 +131,10 @@ def merged_order(lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """All values in order, and each one's place in the lists' concatenation: the lists are sorted each, then merged
     two by two by binary search."""
     at, parts = 0, []
+    kind = np.uint32 if sum(map(len, lists)) < 1 << 32 else np.int64
     for x in lists:
         order = np.argsort(x)
-        parts.append((x[order], order + at))
+        parts.append((x[order], (order + at).astype(kind)))
         at += len(x)
     while len(parts) > 1:
         parts.sort(key=lambda p: -len(p[0]))
@@ -142,12 +143,13 @@ def merged_order(lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
             to = np.searchsorted(a, b, side="right") + np.arange(len(b))
             from_b = np.zeros(len(a) + len(b), bool)
             from_b[to] = True
-            values, place = np.empty(len(from_b), a.dtype), np.empty(len(from_b), np.int64)
-            values[to], place[to] = b, j
-            values[~from_b], place[~from_b] = a, i
+            values, place = np.empty(len(from_b), a.dtype), np.empty(len(from_b), kind)
+            values[from_b], place[from_b] = b, j
+            np.logical_not(from_b, out=from_b)
+            values[from_b], place[from_b] = a, i
             some.append((values, place))
         parts = some + ([parts[-1]] if len(parts) % 2 else [])
-    return parts[0] if parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    return parts[0] if parts else (np.zeros(0, np.uint64), np.zeros(0, kind))
 
 
 def answer_anchors(table: pa.Table, also: np.ndarray | None = None) -> pa.Table:
@@ -219,46 +221,56 @@ def _spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Sent:
-    """The windows of the entries of a bucket: each entry's places in its block, and over all entries the hashes, documents and places in them."""
+    """The windows of the entries of a bucket: each entry's places in its block and its hashes, and over all entries their documents and places in them (if wanted)."""
 
     rows: list[dict]
     at: list[np.ndarray]
     hashes: list[np.ndarray]
-    doc: np.ndarray
-    place: np.ndarray
+    doc: np.ndarray | None
+    place: np.ndarray | None
 
 
-def read_entries(rows: list[dict]) -> Sent:
-    at, hashes, doc, place = [], [], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+def read_entries(rows: list[dict], sources: bool) -> Sent:
+    at, hashes, doc, place = [], [], [np.zeros(0, np.int64)], [np.zeros(0, np.uint32)]
     for r in rows:
         size = np.frombuffer(r["sizes"], np.uint32).astype(np.int64)
-        at.append(_spread(np.frombuffer(r["starts"], np.uint32).astype(np.int64), size))
-        place.append(_spread(np.frombuffer(r["places"], np.uint32).astype(np.int64), size))
-        doc.append(np.repeat(np.frombuffer(r["docs"], np.int64), size))
+        at.append(_spread(np.frombuffer(r["starts"], np.uint32).astype(np.int64), size).astype(np.uint32))
+        if sources:
+            place.append(_spread(np.frombuffer(r["places"], np.uint32).astype(np.int64), size).astype(np.uint32))
+            doc.append(np.repeat(np.frombuffer(r["docs"], np.int64), size))
         low = np.zeros((len(at[-1]), 8), np.uint8)
-        low[:, :6] = np.frombuffer(r["hashes"], np.uint8).reshape(-1, 6)
-        hashes.append(mix(np.repeat(np.frombuffer(r["anchors"], np.uint64), size) * np.uint64(BASE) + low.view(np.uint64)[:, 0]))
-    return Sent(rows, at, hashes, np.concatenate(doc), np.concatenate(place))
+        low[:, :6] = np.frombuffer(r.pop("hashes"), np.uint8).reshape(-1, 6)
+        h = np.repeat(np.frombuffer(r["anchors"], np.uint64) * np.uint64(BASE), size)
+        h += low.view(np.uint64)[:, 0]
+        hashes.append(mix(h))
+    return Sent(rows, at, hashes, np.concatenate(doc) if sources else None, np.concatenate(place) if sources else None)
+
+
+def least_sources(order: np.ndarray, begin: np.ndarray, count: np.ndarray, doc: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The smallest (document, place) of each different hash."""
+    if not len(order):
+        return doc[:0], place[:0].astype(np.int64)
+    doc = doc[order]
+    least = np.minimum.reduceat(doc, begin)
+    other = doc != np.repeat(least, count)
+    del doc
+    place = place[order].astype(np.int64)
+    place[other] = np.iinfo(np.int64).max
+    return least, np.minimum.reduceat(place, begin)
 
 
-def least_sources(lists: list[np.ndarray], doc: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The merged hashes' order, where each different one begins, how often it occurs, and its smallest (document, place)."""
+def grouped(lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The different hashes, the places of all in the lists' concatenation in order of their hash, and where each different one begins there and how often it occurs."""
     h, order = merged_order(lists)
     begin = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1]))) if len(h) else np.zeros(0, np.int64)
-    count = np.diff(np.append(begin, len(h)))
-    if not len(h):
-        return order, begin, count, doc[:0], place[:0]
-    doc, place = doc[order], place[order]
-    least = np.minimum.reduceat(doc, begin)
-    at = np.minimum.reduceat(np.where(doc == np.repeat(least, count), place, np.iinfo(np.int64).max), begin)
-    return order, begin, count, least, at
+    return h[begin], order, begin, np.diff(np.append(begin, len(h)))
 
 
 def upper_windows(table: pa.Table) -> pa.Table:
     """A group's different windows with their smallest (document, place)."""
-    sent = read_entries([r for r in table.to_pylist() if not r["here"]])
-    order, begin, _, doc, place = least_sources(sent.hashes, sent.doc, sent.place)
-    h = np.concatenate([np.zeros(0, np.uint64), *sent.hashes])[order[begin]]
+    sent = read_entries([r for r in table.to_pylist() if not r["here"]], True)
+    h, order, begin, count = grouped(sent.hashes)
+    doc, place = least_sources(order, begin, count, sent.doc, sent.place)
     some = slice(0, 1 if len(h) else 0)
     return pa.table({
         "bucket": table.column("bucket")[some].cast(pa.int32()), "part": table.column("part")[some].cast(pa.int32()),
@@ -269,8 +281,9 @@ def upper_windows(table: pa.Table) -> pa.Table:
 def answer_upper(table: pa.Table, earlier: bool) -> pa.Table:
     """Of each group's windows those that another group has too (earlier: in a smaller document), with the smallest (document, place) of all."""
     own, docs, places = _joined(table, "hashes", np.uint64), _joined(table, "docs", np.int64), _joined(table, "places", np.int64)
-    doc = np.concatenate([np.zeros(0, np.int64), *docs])
-    order, begin, count, least, at = least_sources(own, doc, np.concatenate([np.zeros(0, np.int64), *places]))
+    doc, place = np.concatenate([np.zeros(0, np.int64), *docs]), np.concatenate([np.zeros(0, np.int64), *places])
+    _, order, begin, count = grouped(own)
+    least, at = least_sources(order, begin, count, doc, place)
     of = np.empty(len(order), np.int64)
     of[order] = np.repeat(np.arange(len(begin)), count)
     hit = (least[of] < doc) if earlier else count[of] > 1
@@ -285,38 +298,51 @@ def answer_upper(table: pa.Table, earlier: bool) -> pa.Table:
 
 
 def answer_windows(table: pa.Table, earlier: bool, upper: pa.Table | None = None) -> pa.Table:
-    """Which entries' windows other blocks have too; earlier: only those of a smaller document. The smallest document
-    and the place in it are returned. upper tells what the other groups have."""
+    """Which entries' windows other blocks have too; earlier: only those of a smaller document, which is returned with
+    the place in it. upper tells what the other groups have."""
     out: dict[str, list] = {k: [] for k in ("block", "starts", "sizes", "docs", "places")}
     rows = table.to_pylist()
     for r in rows:
         if r["here"]:
             for k in out:
                 out[k].append(r[k])
-    sent = read_entries([r for r in rows if not r["here"]])
+    sent = read_entries([r for r in rows if not r["here"]], earlier)
+    del rows
     if sent.rows:
-        order, begin, count, least, place = least_sources(sent.hashes, sent.doc, sent.place)
-        elsewhere = count > 1
+        h, order, begin, count = grouped(sent.hashes)
+        sent.hashes.clear()
+        known = np.zeros(len(h), bool)
         if upper is not None and upper.num_rows:
-            h = np.concatenate(sent.hashes)[order[begin]]
             far, at = merged_order(_joined(upper, "hashes", np.uint64))
             known = isin_sorted(h, far)
             to = at[np.searchsorted(far, h[known])]
-            least[known], place[known] = np.concatenate(_joined(upper, "docs", np.int64))[to], np.concatenate(_joined(upper, "places", np.int64))[to]
-            elsewhere |= known
-        of = np.empty(len(order), np.int64)
-        of[order] = np.repeat(np.arange(len(begin)), count)
-        hit = least[of] < sent.doc if earlier else elsewhere[of]
+        least = place = None
+        if earlier:
+            least, place = least_sources(order, begin, count, sent.doc, sent.place)
+            if known.any():
+                least[known], place[known] = np.concatenate(_joined(upper, "docs", np.int64))[to], np.concatenate(_joined(upper, "places", np.int64))[to]
+            of = np.empty(len(order), np.int64)
+            of[order] = np.repeat(np.arange(len(begin)), count)
+            hit = least[of] < sent.doc
+        else:
+            hit = np.empty(len(order), bool)
+            hit[order] = np.repeat(known | (count > 1), count)
         to = 0
         for r, x in zip(sent.rows, sent.at, strict=True):
             own = slice(to, to + len(x))
             to += len(x)
-            mine = of[own][hit[own]]
-            x, doc, at = x[hit[own]], least[mine], place[mine]
-            if len(x):
-                begin_, n = split_runs(x, doc, x - at) if earlier else split_runs(x)
-                for k, v in zip(out, (r["block"], x[begin_].astype(np.uint32).tobytes(), n.astype(np.uint32).tobytes(), doc[begin_].tobytes(), at[begin_].astype(np.uint32).tobytes()), strict=True):
-                    out[k].append(v)
+            x = x[hit[own]].astype(np.int64)
+            if not len(x):
+                continue
+            if earlier:
+                mine = of[own][hit[own]]
+                doc, at = least[mine], place[mine]
+                begin_, n = split_runs(x, doc, x - at)
+            else:
+                doc, at = np.zeros(len(x), np.int64), x
+                begin_, n = split_runs(x)
+            for k, v in zip(out, (r["block"], x[begin_].astype(np.uint32).tobytes(), n.astype(np.uint32).tobytes(), doc[begin_].tobytes(), at[begin_].astype(np.uint32).tobytes()), strict=True):
+                out[k].append(v)
     return pa.table({k: pa.array(v, pa.int32() if k == "block" else pa.binary()) for k, v in out.items()})
 
 
