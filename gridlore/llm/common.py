@@ -76,7 +76,9 @@ def spread_join(rows: DataFrame, table: DataFrame, key: str, how: str = "inner",
     rows, where rows themselves are dear to compute twice."""
     part, hot = fresh(rows, "_part"), fresh(rows, "_hot")
     counts = (rows if keys is None else keys).groupBy(F.col(key).alias(hot)).agg(F.count(F.lit(1)).alias("n"))
-    hottest = F.broadcast(counts.orderBy(F.desc("n"), hot).limit(HOT_KEYS).where(F.col("n") > HOT_ROWS).select(hot))
+    hottest = counts.orderBy(F.desc("n"), hot).limit(HOT_KEYS).where(F.col("n") > HOT_ROWS).select(hot)
+    # One more key, hot or not, keeps the plan the same where nothing is hot.
+    hottest = F.broadcast(hottest.unionAll(rows.sparkSession.range(1).select(F.lit("0").cast(hottest.schema[0].dataType))).distinct())
     dealt = rows.join(hottest, F.col(key) == F.col(hot), "left")
     dealt = dealt.withColumn(part, F.when(F.col(hot).isNotNull(), F.pmod(F.xxhash64(*rows.columns), F.lit(HOT_PARTS))).otherwise(F.lit(0)).cast("int")).drop(hot)
     copies = table.join(hottest, F.col(key) == F.col(hot), "left")
