@@ -39,6 +39,13 @@ def to_utm(lat: Column, lon: Column, zone: Column) -> tuple[Column, Column]:
     return FALSE_EAST + ARC * east, F.when(lat < 0, FALSE_NORTH).otherwise(0.0) + ARC * north
 
 
+def local_frame(lat: Column, lon: Column, zone: Column, south: Column, west: Column) -> tuple[Column, Column]:
+    """Metres east and north of a window's south-west corner in the zone's grid."""
+    east, north = to_utm(lat, lon, zone)
+    east0, north0 = to_utm(south, west, zone)
+    return east - east0, north - north0
+
+
 def from_utm(east: Column, north: Column, zone: Column, south: Column) -> tuple[Column, Column]:
     """Latitude and longitude in degrees."""
     x, y = (north - F.when(south, FALSE_NORTH).otherwise(0.0)) / ARC, (east - FALSE_EAST) / ARC

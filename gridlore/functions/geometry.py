@@ -56,6 +56,60 @@ def chaikin(points: Column) -> Column:
     return F.concat(F.slice(real, F.lit(1), F.lit(1)), F.flatten(_pairs(points, corner)), F.slice(real, F.lit(-1), F.lit(1)))
 
 
+def chaikin_ring(ring: Column) -> Column:
+    """One round of corner cutting of a closed ring, closed again."""
+
+    def corner(p, q):
+        at = lambda t: F.struct((p["x"] * (1 - t) + q["x"] * t).cast("double").alias("x"), (p["y"] * (1 - t) + q["y"] * t).cast("double").alias("y"))
+        return F.array(at(0.25), at(0.75))
+
+    cut = F.flatten(_pairs(ring, corner))
+    return F.concat(cut, F.slice(cut, F.lit(1), F.lit(1)))
+
+
+def densify_long(points: Column, longest: float) -> Column:
+    """Equal parts on the segments that are over `longest`; others, and segments of no length, stay as they are."""
+
+    def cut(p, q):
+        dx, dy = q["x"] - p["x"], q["y"] - p["y"]
+        size = F.sqrt((dx * dx + dy * dy).cast("double"))
+        n = F.when(size > longest, F.ceil(size / longest)).otherwise(1).cast("int")
+        return F.transform(F.sequence(F.lit(1), n), lambda i: F.struct((p["x"] + dx * i / n).cast("double").alias("x"), (p["y"] + dy * i / n).cast("double").alias("y")))
+
+    first = F.transform(F.slice(points, F.lit(1), F.lit(1)), lambda p: F.struct(p["x"].cast("double").alias("x"), p["y"].cast("double").alias("y")))
+    return F.concat(first, F.flatten(_pairs(points, cut)))
+
+
+def densify_ring(points: Column, longest: float) -> Column:
+    """As `densify_long`, closed at the end where the last point is not the first one."""
+    return F.when((F.size(points) > 1) & (points[0] != F.element_at(points, -1)), densify_long(close_ring(points), longest)).otherwise(densify_long(points, longest))
+
+
+def densify_inside(points: Column, longest: float) -> Column:
+    """As `densify_long`, without a repeated last point."""
+    whole = densify_long(points, longest)
+    return F.when((F.size(whole) > 1) & (whole[0] == F.element_at(whole, -1)), F.slice(whole, F.lit(1), F.size(whole) - 1)).otherwise(whole)
+
+
+def longest_edge(points: Column) -> Column:
+    return F.array_max(_pairs(points, lambda p, q: F.sqrt(((q["x"] - p["x"]) * (q["x"] - p["x"]) + (q["y"] - p["y"]) * (q["y"] - p["y"])).cast("double"))))
+
+
+def ring_centroid(ring: Column) -> Column:
+    """(x, y) of the centre of a closed ring's area; null where it has none."""
+    cross = lambda p, q: (p["x"] * q["y"] - q["x"] * p["y"]).cast("double")
+    whole = signed_area(ring)
+    part = lambda c: _sum(_pairs(ring, lambda p, q: (p[c] + q[c]) * cross(p, q))) / (6 * whole)
+    return F.when(whole != 0, F.struct(part("x").alias("x"), part("y").alias("y")))
+
+
+def by_angle(points: Column) -> Column:
+    """Points counter-clockwise around their mean, from the angle of -pi on; equal angles by coordinates."""
+    mean = lambda c: F.aggregate(points, F.lit(0.0), lambda a, p: a + p[c]) / F.size(points)
+    keyed = F.transform(points, lambda p: F.struct(F.atan2(p["y"] - mean("y"), p["x"] - mean("x")).alias("angle"), p["x"].alias("x"), p["y"].alias("y")))
+    return F.transform(F.array_sort(keyed), lambda k: F.struct(k["x"].alias("x"), k["y"].alias("y")))
+
+
 def in_ring(x: Column, y: Column, ring: Column) -> Column:
     """Crossing number: whether a point lies in a closed ring."""
     crosses = _pairs(ring, lambda p, q: F.when(((p["y"] > y) != (q["y"] > y)) & (x < (q["x"] - p["x"]) * (y - p["y"]) / (q["y"] - p["y"]) + p["x"]), 1).otherwise(0))

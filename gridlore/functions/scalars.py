@@ -49,12 +49,48 @@ def model_scale(width: Column, height: Column) -> Column:
     return P.MODEL_MM / F.greatest(width, height)
 
 
+def road_width(highway: Column) -> Column:
+    """Metres of a road as it is shown."""
+    known = reduce(lambda rest, kv: F.when(highway == kv[0], kv[1]).otherwise(rest), P.ROAD_WIDTHS.items(), F.lit(P.DEFAULT_ROAD_WIDTH))
+    return known * P.ROAD_WIDENING
+
+
+def grid_points(km2: Column) -> Column:
+    """Points along the longer side of the terrain grid."""
+    kind = area_class(km2)
+    return F.when(kind == "small", P.GRID_POINTS["small"]).when(kind == "medium", P.GRID_POINTS["medium"]).otherwise(P.GRID_POINTS["large"])
+
+
+def relief_thickness(low: Column, high: Column) -> Column:
+    """Millimetres of the terrain by its range of heights; the middle of the bounds on flat ground."""
+    a, b = P.RELIEF_MM
+    wanted = P.BASE_MM * (high - low) / P.RELIEF_SPAN_M / P.RELIEF_SHARE
+    return F.when(high - low < P.FLAT_M, (a + b) / 2).otherwise(F.greatest(F.lit(a), F.least(F.lit(b), wanted)))
+
+
+def relief_z(z: Column, low: Column, high: Column) -> Column:
+    """Millimetres over the terrain's lowest point; half the thickness on flat ground."""
+    thick = relief_thickness(low, high)
+    return F.when(high - low > P.FLAT_M, (z - low) / F.when(high > low, high - low).otherwise(1.0) * thick).otherwise(thick / 2)
+
+
+def terrain_z(z: Column, low: Column, high: Column) -> Column:
+    """Millimetres of the terrain's surface along a power curve that lifts low ground; the middle on flat ground."""
+    t = (z - low) / F.when(high > low, high - low).otherwise(1.0)
+    return F.when(high - low > P.FLAT_M, F.pow(t, F.lit(P.TERRAIN_GAMMA)) * P.TERRAIN_THICK_MM).otherwise(P.TERRAIN_THICK_MM / 2) + P.TERRAIN_BASE_MM
+
+
 def xml_escape(text: Column) -> Column:
     for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
         text = F.replace(text, F.lit(a), F.lit(b))
     return text
 
 
+def hex_colour(colour: Column) -> Column:
+    """[red, green, blue, 255] of #rrggbb."""
+    return F.array(*(hex_channel(colour, k) for k in range(3)), F.lit(255))
+
+
 def hex_channel(colour: Column, k: int) -> Column:
     """Red, green or blue (k = 0, 1, 2) of #rrggbb."""
     return F.conv(F.substring(colour, 2 + 2 * k, 2), 16, 10).cast("int")
@@ -64,6 +100,10 @@ def utm_zone(lon: Column) -> Column:
     return (F.floor((lon + 180) / 6) + 1).cast("int")
 
 
+def utm_epsg(lon: Column, lat: Column) -> Column:
+    return F.when(lat >= 0, 32600).otherwise(32700) + utm_zone(lon)
+
+
 def hgt_name(lat: Column, lon: Column) -> Column:
     return F.format_string("%s%02d%s%03d.hgt", F.when(lat >= 0, "N").otherwise("S"), F.abs(lat), F.when(lon >= 0, "E").otherwise("W"), F.abs(lon))
 
@@ -77,7 +117,8 @@ def tag_filter(tags: Column, rule: dict) -> Column:
     return reduce(lambda a, b: a | b, (one(k, v) for k, v in rule.items()))
 
 
-def ramp(z: Column, low: Column, high: Column, a: int, b: int) -> Column:
-    """A colour channel between a and b by elevation, truncated; the low colour on flat ground."""
-    t = F.when(high - low < 1e-3, F.lit(0.0)).otherwise((z - low) / (high - low))
-    return (a + (b - a) * t).cast("int")
+def ramp(z: Column, low: Column, high: Column, a: tuple, b: tuple, share: float = 0.4) -> Column:
+    """The colour (red, green, blue, alpha) between a and b by elevation, truncated; the low colour on flat ground. Only `share` of the way to b is gone."""
+    t = F.when(high - low < 1e-3, F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (z - low) / F.when(high > low, high - low).otherwise(1.0)))) * share
+    channel = lambda x, y: F.greatest(F.lit(0), F.least(F.lit(255), (x * (1 - t) + y * t).cast("int")))
+    return F.array(*(channel(x, y) for x, y in zip(a, b, strict=True)), F.lit(255))

@@ -22,7 +22,7 @@ def resolve(refs: DataFrame, places: DataFrame) -> DataFrame:
 
 def relations(members: DataFrame, sizes: DataFrame) -> DataFrame:
     """relation, numbers and area of its outer and inner ways; any role but inner is outer; unknown ways are left out."""
-    held = members.join(sizes, "way")
+    held = members.join(sizes, "way")  # sizes have the closed ways only: open members are not put together
     inner = F.col("role") == "inner"
     outer = ~F.coalesce(inner, F.lit(False))
     return held.groupBy("relation").agg(

@@ -17,7 +17,7 @@ def dedupe_first(df: DataFrame, key: str = "osm_id", order: str = "seq") -> Data
 
 
 def clip_boxes(df: DataFrame, window: tuple) -> DataFrame:
-    """Boxes cut to a window; those that do not meet its inside go. The comparisons reach the scan."""
+    """Boxes cut to a window; those that do not meet its inside go."""
     a, b, c, d = window
     met = df.where((F.col("xmin") < c) & (F.col("xmax") > a) & (F.col("ymin") < d) & (F.col("ymax") > b))
     return met.withColumns({"xmin": F.greatest("xmin", F.lit(a)), "ymin": F.greatest("ymin", F.lit(b)), "xmax": F.least("xmax", F.lit(c)), "ymax": F.least("ymax", F.lit(d))})
@@ -43,6 +43,21 @@ def union_all(*parts: DataFrame) -> DataFrame:
     return first
 
 
+def skipped(df: DataFrame, **reasons) -> DataFrame:
+    """How many rows are kept and how many go for each reason (name = condition); a row counts for the first reason that holds."""
+    why = F.lit("kept")
+    for name, condition in reversed(list(reasons.items())):
+        why = F.when(condition, name).otherwise(why)
+    return df.groupBy(why.alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def report_lines(title: str, counts: DataFrame, label: str, n: str = "n") -> DataFrame:
+    """place and line: a title and a line a label, the most frequent first."""
+    head = counts.agg(F.sum(n).alias("all")).select(F.lit(0).cast("long").alias("place"), F.concat(F.lit(f"{title}: "), F.coalesce("all", F.lit(0)).cast("string")).alias("line"))
+    order = Window.orderBy(F.desc(n), label)
+    return head.unionAll(counts.select(F.row_number().over(order).cast("long").alias("place"), F.concat(F.lit("  "), F.col(label).cast("string"), F.lit(": "), F.col(n).cast("string")).alias("line")))
+
+
 def frequency(df: DataFrame, column: str) -> DataFrame:
     return df.groupBy(column).agg(F.count(F.lit(1)).alias("n"))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -46,6 +46,67 @@ def extrude(footprints: DataFrame) -> tuple[DataFrame, DataFrame]:
     return vertices, faces.select("object", F.col("fid").cast("long").alias("fid"), "f.*")
 
 
+def repaired(vertices: DataFrame, faces: DataFrame, digits: int = 6) -> tuple[DataFrame, DataFrame]:
+    """The mesh with equal points (to so many digits) merged, and without faces that repeat a point, have no area, or have the points of another face; unused points go.
+
+    A merged point keeps its smallest number, and of equal faces the one with the smallest number stays. Holes are not filled."""
+    key = [F.round(c, digits).alias(f"_{c}") for c in "xyz"]
+    named = vertices.select("object", "vid", "x", "y", "z", *key)
+    first = named.groupBy("object", "_x", "_y", "_z").agg(F.min("vid").alias("to"))
+    to = named.join(first, ["object", "_x", "_y", "_z"]).select("object", "vid", "to")
+    for k in (1, 2, 3):
+        faces = faces.join(to.select("object", F.col("vid").alias(f"v{k}"), F.col("to").alias(f"_{k}")), ["object", f"v{k}"]).drop(f"v{k}").withColumnRenamed(f"_{k}", f"v{k}")
+    faces = faces.where("v1 <> v2 AND v2 <> v3 AND v1 <> v3")
+    faces = normals(vertices, faces).where("nx <> 0 OR ny <> 0 OR nz <> 0").select("object", "fid", "v1", "v2", "v3")
+    faces = faces.withColumn("_set", F.array_sort(F.array("v1", "v2", "v3"))).groupBy("object", "_set").agg(F.min(F.struct("fid", "v1", "v2", "v3")).alias("f")).select("object", "f.*")
+    used = faces.select("object", F.explode(F.array("v1", "v2", "v3")).alias("vid")).distinct()
+    return vertices.join(used, ["object", "vid"], "left_semi").select("object", "vid", "x", "y", "z"), faces
+
+
+def loops(faces: DataFrame) -> DataFrame:
+    """object, loop, place and vid: the boundary of each object's mesh as closed walks along the directed edges that one face has.
+
+    The edges of an object's boundary are walked in one task; a loop is named by its smallest point and begins there."""
+    import pyarrow as pa
+
+    edge = lambda a, b: F.struct(F.col(a).alias("a"), F.col(b).alias("b"))
+    e = faces.select("object", F.explode(F.array(edge("v1", "v2"), edge("v2", "v3"), edge("v3", "v1"))).alias("e")).select("object", "e.a", "e.b")
+    once = e.groupBy("object", F.least("a", "b").alias("p"), F.greatest("a", "b").alias("q")).agg(F.count(F.lit(1)).alias("n"), F.first("a").alias("a"), F.first("b").alias("b")).where("n = 1").select("object", "a", "b")
+
+    def walk(table: pa.Table) -> pa.Table:
+        name = table.column("object")[0].as_py()
+        after: dict[int, list[int]] = {}
+        for a, b in sorted(zip(table.column("a").to_pylist(), table.column("b").to_pylist(), strict=True), reverse=True):
+            after.setdefault(a, []).append(b)
+        rows: list[tuple[int, int, int]] = []
+        for start in sorted(after):
+            while after.get(start):
+                path, at = [start], after[start].pop()
+                while at != start and after.get(at):
+                    path.append(at)
+                    at = after[at].pop()
+                rows += [(start, k, v) for k, v in enumerate(path)]
+        return pa.table({"object": pa.array([name] * len(rows), pa.string()), **{k: pa.array([r[i] for r in rows], pa.int64()) for i, k in enumerate(("loop", "place", "vid"))}})
+
+    return once.groupBy("object").applyInArrow(walk, "object string, loop long, place long, vid long")
+
+
+def longest_loop(faces: DataFrame) -> DataFrame:
+    """object, loop and points of each object's longest boundary loop (of equals the one with the smallest point)."""
+    n = loops(faces).groupBy("object", "loop").agg(F.count(F.lit(1)).alias("points"))
+    return n.groupBy("object").agg(F.min(F.struct((-F.col("points")).alias("n"), "loop")).alias("m")).select("object", "m.loop", (-F.col("m.n")).alias("points"))
+
+
+def reindexed(vertices: DataFrame, faces: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The referenced points numbered from 0 in the order of their old numbers, object by object, and the faces with the new ones."""
+    used = faces.select("object", F.explode(F.array("v1", "v2", "v3")).alias("vid")).distinct()
+    order = Window.partitionBy("object").orderBy("vid")
+    v = vertices.join(used, ["object", "vid"], "left_semi").withColumn("to", (F.row_number().over(order) - 1).cast("long"))
+    for k in (1, 2, 3):
+        faces = faces.join(v.select("object", F.col("vid").alias(f"v{k}"), F.col("to").alias(f"_{k}")), ["object", f"v{k}"]).drop(f"v{k}").withColumnRenamed(f"_{k}", f"v{k}")
+    return v.select("object", F.col("to").alias("vid"), "x", "y", "z"), faces.select("object", "fid", "v1", "v2", "v3")
+
+
 RULES = (
     ("V1", "model side", "warning"), ("V2", "both terrain objects", "error"), ("V3", "terrain relief", "warning"), ("V4", "buildings below the highest ground", "error"),
     ("V5", "building embedding", "warning"), ("V6", "road faces up", "warning"), ("V7", "road relief", "warning"), ("V8", "water depth", "error"),
@@ -88,12 +149,20 @@ def verdict(rules: DataFrame) -> DataFrame:
     return rules.agg(F.bool_and(F.col("passed") | (F.col("severity") != "error")).alias("passed"))
 
 
+def rule_text(rules: DataFrame) -> DataFrame:
+    """One line of text a rule, in the order of their numbers, and a last one with the verdict."""
+    number = F.substring("rule", 2, 3).cast("int")
+    lines = rules.select(number.alias("at"), F.format_string("[%s] %s %s%s", F.when(F.col("passed"), "ok").otherwise("no"), F.col("rule"), F.col("title"), F.when(F.col("passed"), "").otherwise(F.concat(F.lit(" ("), F.col("severity"), F.lit(")")))).alias("line"))
+    last = verdict(rules).select(F.lit(len(RULES) + 1).alias("at"), F.when(F.col("passed"), "model passed").otherwise("model failed").alias("line"))
+    return lines.unionAll(last)
+
+
 def report(vertices: DataFrame, faces: DataFrame) -> DataFrame:
     """By object: faces, faces without area, edges not shared by two faces, and the signed volume."""
-    c = corners(vertices, faces)
+    c = normals(vertices, faces)
     det = F.col("x1") * (F.col("y2") * F.col("z3") - F.col("z2") * F.col("y3")) - F.col("y1") * (F.col("x2") * F.col("z3") - F.col("z2") * F.col("x3")) + F.col("z1") * (F.col("x2") * F.col("y3") - F.col("y2") * F.col("x3"))
-    flat = normals(vertices, faces).groupBy("object").agg(F.count_if((F.col("nx") == 0) & (F.col("ny") == 0) & (F.col("nz") == 0)).alias("degenerate"))
-    whole = c.groupBy("object").agg(F.count(F.lit(1)).alias("faces"), (F.sum(det) / 6).alias("volume"))
+    flat = F.count_if((F.col("nx") == 0) & (F.col("ny") == 0) & (F.col("nz") == 0))
+    whole = c.groupBy("object").agg(F.count(F.lit(1)).alias("faces"), (F.sum(det) / 6).alias("volume"), flat.alias("degenerate"))
     edge = lambda p, q: F.struct(F.least(p, q).alias("a"), F.greatest(p, q).alias("b"))
     e = faces.select("object", F.explode(F.array(edge("v1", "v2"), edge("v2", "v3"), edge("v3", "v1"))).alias("e")).groupBy("object", "e").agg(F.count(F.lit(1)).alias("n"))
-    return whole.join(flat, "object").join(e.groupBy("object").agg(F.count_if(F.col("n") != 2).alias("open_edges")), "object")
+    return whole.join(e.groupBy("object").agg(F.count_if(F.col("n") != 2).alias("open_edges")), "object")

@@ -1,7 +1,9 @@
 """Spatial joins on grid cells: an equi-join on the cell, then the exact predicate.
 
-Each pair is met in every cell that both boxes touch; it is kept in one, the cell of the lower left
-corner of what the boxes have in common, so no distinct is needed.
+The cell's side is taken from the boxes themselves (their mean extent), and a large box is put on a coarser level whose
+cells are as large as it is: a box has at most four cells a level, however large it is, and is met by the boxes of its
+own and of finer levels. Each pair is met in every cell that both boxes touch on the coarser one's level; it is
+kept in one, the cell of the lower left corner of what the boxes have in common, so no distinct is needed.
 """
 
 from __future__ import annotations
@@ -12,21 +14,48 @@ from pyspark.sql import functions as F
 from gridlore.functions.geometry import clip_interval
 from gridlore.profiles import OVERLAP
 
-CELL = 32
+#: Levels of the grid; the coarsest has cells of 2**(LEVELS - 1) times the finest ones' side.
+LEVELS = 24
 
 
-def with_cells(df: DataFrame, xmin, ymin, xmax, ymax, size: int = CELL) -> DataFrame:
-    span = lambda a, b: F.sequence(F.floor(a / size), F.floor(b / size))
-    return df.withColumn("cx", F.explode(span(xmin, xmax))).withColumn("cy", F.explode(span(ymin, ymax)))
+def _extent(side: str) -> Column:
+    return F.greatest(F.col(f"{side}x1") - F.col(f"{side}x0"), F.col(f"{side}y1") - F.col(f"{side}y0")).cast("double")
 
 
-def box_join(a: DataFrame, b: DataFrame, size: int = CELL) -> DataFrame:
-    """Pairs of boxes that meet, edges included. a has ax0, ay0, ax1, ay1, b the same with b."""
-    a = with_cells(a, F.col("ax0"), F.col("ay0"), F.col("ax1"), F.col("ay1"), size)
-    b = with_cells(b, F.col("bx0"), F.col("by0"), F.col("bx1"), F.col("by1"), size)
+def _sizes(a: DataFrame, b: DataFrame) -> DataFrame:
+    """One row: the finest cell's side, a power of two of at least the mean extent, and the coarsest level that a box needs."""
+    both = a.select(_extent("a").alias("e")).unionAll(b.select(_extent("b").alias("e")))
+    one = both.agg(F.avg("e").alias("mean"), F.max("e").alias("most"))
+    size = F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest("mean", F.lit(1e-6)))))
+    return one.select(size.alias("_size"), _level(F.col("most"), size).alias("_top"))
+
+
+def _level(extent: Column, size: Column) -> Column:
+    """The finest level whose cells are as large as the box."""
+    return F.least(F.lit(LEVELS - 1), F.when(extent > size, F.ceil(F.log2(extent / size))).otherwise(0)).cast("int")
+
+
+def _with_cells(df: DataFrame, side: str, sizes: DataFrame) -> DataFrame:
+    """The rows once for each cell that the box touches on its own level and on each coarser one."""
+    x = df.crossJoin(F.broadcast(sizes)).withColumn(f"_{side}", _level(_extent(side), F.col("_size")))
+    x = x.withColumn("_l", F.explode(F.sequence(F.col(f"_{side}"), F.col("_top")))).withColumn("_cell", F.col("_size") * F.pow(F.lit(2.0), F.col("_l")))
+    span = lambda c: F.explode(F.sequence(F.floor(F.col(f"{side}{c}0") / F.col("_cell")), F.floor(F.col(f"{side}{c}1") / F.col("_cell"))))
+    return x.withColumn("_cx", span("x")).withColumn("_cy", span("y")).drop("_size", "_top")
+
+
+def _meet(a: DataFrame, b: DataFrame) -> tuple[DataFrame, DataFrame, Column]:
+    """Both sides by cell, and whether two rows of a cell are a pair that this cell keeps."""
+    sizes = _sizes(a, b)
+    a, b = _with_cells(a, "a", sizes), _with_cells(b, "b", sizes).drop("_cell")
     meet = (F.col("ax0") <= F.col("bx1")) & (F.col("bx0") <= F.col("ax1")) & (F.col("ay0") <= F.col("by1")) & (F.col("by0") <= F.col("ay1"))
-    here = (F.floor(F.greatest("ax0", "bx0") / size) == F.col("cx")) & (F.floor(F.greatest("ay0", "by0") / size) == F.col("cy"))
-    return a.join(b, ["cx", "cy"]).where(meet & here).drop("cx", "cy")
+    here = lambda c: F.floor(F.greatest(f"a{c}0", f"b{c}0") / F.col("_cell")) == F.col(f"_c{c}")
+    return a, b, meet & here("x") & here("y") & (F.greatest("_a", "_b") == F.col("_l"))
+
+
+def box_join(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Pairs of boxes that meet, edges included. a has ax0, ay0, ax1, ay1, b the same with b."""
+    a, b, kept = _meet(a, b)
+    return a.join(b, ["_l", "_cx", "_cy"]).where(kept).drop("_l", "_cx", "_cy", "_cell", "_a", "_b")
 
 
 def overlap_area() -> Column:
@@ -42,6 +71,16 @@ def crossings(segments: DataFrame, waters: DataFrame) -> DataFrame:
     return box_join(s, waters).withColumns({"t0": t0, "t1": t1, "length": F.sqrt((dx * dx + dy * dy).cast("double"))}).where("t0 <= t1").select("way", "pos", "t0", "t1", "length")
 
 
+def crossing_ways(segments: DataFrame, waters: DataFrame) -> DataFrame:
+    """The ways of which a segment meets a water box: a semi-join, so a segment's search ends at its first box."""
+    s = segments.withColumns({"ax0": F.least("x1", "x2"), "ay0": F.least("y1", "y2"), "ax1": F.greatest("x1", "x2"), "ay1": F.greatest("y1", "y2")})
+    t0, t1 = clip_interval(*(F.col(c).cast("double") for c in ("x1", "y1", "x2", "y2", "bx0", "by0", "bx1", "by1")))
+    a, b, kept = _meet(s, waters)
+    b = b.select("bx0", "by0", "bx1", "by1", "_b", *(F.col(c).alias(f"b{c}") for c in ("_l", "_cx", "_cy")))
+    same = (F.col("_l") == F.col("b_l")) & (F.col("_cx") == F.col("b_cx")) & (F.col("_cy") == F.col("b_cy"))
+    return a.join(b, same & kept & (t0 <= t1), "left_semi").select("way").distinct()
+
+
 def covered_length(parts: DataFrame) -> DataFrame:
     """way and the length in the union of the waters: each segment's intervals are merged."""
     order = Window.partitionBy("way", "pos").orderBy("t0", "t1")
@@ -65,9 +104,31 @@ def dominated(losers: DataFrame, winners: DataFrame, share: float = OVERLAP) ->
 
 
 def nearest_max(points: DataFrame, grid: DataFrame, k: int = 8, reach: int = 2) -> DataFrame:
-    """For each point (id, px, py over col, row) the largest z of its k nearest known grid vertices; candidates are `reach` cells around."""
-    near = F.explode(F.sequence(F.floor("py").cast("long") - reach, F.floor("py").cast("long") + reach + 1)).alias("row")
-    cand = points.select("id", "px", "py", near).select("id", "px", "py", "row", F.explode(F.sequence(F.floor("px").cast("long") - reach, F.floor("px").cast("long") + reach + 1)).alias("col"))
-    d = (F.col("col") - F.col("px")) * (F.col("col") - F.col("px")) + (F.col("row") - F.col("py")) * (F.col("row") - F.col("py"))
+    """id and the largest z of the k nearest known grid vertices of each point (id, px, py over col, row); of equally near ones the first by row and column.
+
+    Candidates are `reach` cells around the point, or around the place on the grid's edge that is nearest to it. A vertex
+    that was not looked at is farther than the reach from there; so a point that has k candidates, none of them farther,
+    is done. The others, next to missing vertices, are searched again in a square of twice the reach."""
+    known = grid.where("z IS NOT NULL")
+    ends = known.agg(F.min("col"), F.max("col"), F.min("row"), F.max("row")).first()
+    out, left = None, points.select("id", "px", "py")
+    if ends[0] is None:
+        return left.where("false").select("id", F.lit(None).cast("double").alias("z"))
+    on_grid = lambda c, a, b: F.greatest(F.lit(float(a)), F.least(F.lit(float(b)), F.col(c)))
+    left = left.where("px IS NOT NULL AND py IS NOT NULL").withColumns({"_x": on_grid("px", *ends[:2]), "_y": on_grid("py", *ends[2:])})
+    away = lambda x, y: (F.col(x) - F.col("px")) * (F.col(x) - F.col("px")) + (F.col(y) - F.col("py")) * (F.col(y) - F.col("py"))
     order = Window.partitionBy("id").orderBy("d", "row", "col")
-    return cand.join(grid.where("z IS NOT NULL"), ["row", "col"]).withColumn("d", d).withColumn("n", F.row_number().over(order)).where(F.col("n") <= k).groupBy("id").agg(F.max("z").alias("z"))
+    while True:
+        span = lambda c, a, b: F.explode(F.sequence(F.greatest(F.ceil(c) - reach - 1, F.lit(a)), F.least(F.floor(c) + reach + 1, F.lit(b))))  # noqa: B023, E731
+        cand = left.withColumn("row", span("_y", *ends[2:])).withColumn("col", span("_x", *ends[:2]))
+        near = cand.join(known, ["row", "col"]).withColumn("d", away("col", "row")).withColumn("n", F.row_number().over(order)).where(F.col("n") <= k)
+        near = near.groupBy("id").agg(F.max("z").alias("z"), F.max("n").alias("n"), F.max("d").alias("d"))
+        if reach >= max(ends[1] - ends[0], ends[3] - ends[2]):
+            found = near.select("id", "z")
+            return found if out is None else out.unionByName(found)
+        judged = left.join(near, "id", "left").withColumn("sure", F.coalesce((F.col("n") == k) & (F.col("d") <= away("_x", "_y") + reach * reach), F.lit(False))).persist()
+        sure = judged.where("sure").select("id", "z")
+        out = sure if out is None else out.unionByName(sure)
+        left, reach = judged.where("NOT sure").select("id", "px", "py", "_x", "_y"), reach * 2
+        if left.isEmpty():
+            return out

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridlore.functions.geometry import signed_area
+
 _ELEMENTS = "elements array<struct<type:string,id:long,lat:double,lon:double,nodes:array<long>,members:array<struct<type:string,ref:long,role:string>>,tags:map<string,string>>>"
 _GEOJSON = "features array<struct<properties:map<string,string>,geometry:struct<type:string,coordinates:string>>>"
 VOID = -32768
@@ -31,10 +33,51 @@ def read_geojson(spark: SparkSession, path: str) -> DataFrame:
     return f.select(F.col("f.properties").alias("tags"), F.col("f.geometry.type").alias("kind"), F.col("f.geometry.coordinates").alias("coordinates"))
 
 
+def feature_text(tags: str = "tags", kind: str = "kind", coordinates: str = "coordinates") -> F.Column:
+    """A feature as GeoJSON text."""
+    return F.concat(F.lit('{"type":"Feature","properties":'), F.coalesce(F.to_json(tags), F.lit("{}")), F.lit(',"geometry":{"type":"'), F.col(kind), F.lit('","coordinates":'), F.col(coordinates), F.lit("}}"))
+
+
 def write_geojson(df: DataFrame, path: str) -> None:
-    """One feature a line (tags, kind, coordinates as JSON)."""
-    text = F.concat(F.lit('{"type":"Feature","properties":'), F.coalesce(F.to_json("tags"), F.lit("{}")), F.lit(',"geometry":{"type":"'), F.col("kind"), F.lit('","coordinates":'), F.col("coordinates"), F.lit("}}"))
-    df.select(text.alias("value")).write.mode("overwrite").text(path)
+    """A folder of FeatureCollections, one a partition (tags, kind, coordinates as JSON), which `read_geojson` reads."""
+    import pyarrow as pa
+
+    def collect(batches):
+        first = True
+        for batch in batches:
+            for line in batch.column("value").to_pylist():
+                yield pa.record_batch({"value": pa.array([('{"type":"FeatureCollection","features":[' if first else ",") + line])})
+                first = False
+        yield pa.record_batch({"value": pa.array(['{"type":"FeatureCollection","features":[]}' if first else "]}"])})
+
+    df.select(feature_text().alias("value")).mapInArrow(collect, "value string").write.mode("overwrite").text(path)
+
+
+def read_shapes(spark: SparkSession, path: str) -> DataFrame:
+    """tags, kind (polygon, line, point) and parts (flat coordinates; outer rings counter-clockwise, holes clockwise) of GeoJSON features; unknown types go."""
+    f = read_geojson(spark, path)
+    depth = {"Point": 0, "LineString": 1, "Polygon": 2, "MultiLineString": 2, "MultiPolygon": 3}
+    out = None
+    pair = lambda p: F.slice(p, F.lit(1), F.lit(2))
+    line = lambda c: F.flatten(F.transform(c, pair))
+    open_ring = lambda c: F.when((F.size(c) > 1) & (c[0] == F.element_at(c, -1)), F.slice(c, F.lit(1), F.greatest(F.size(c) - 1, F.lit(0)))).otherwise(c)
+
+    def turned(ring, i):
+        flat = line(open_ring(ring))
+        points = F.transform(ring, lambda p: F.struct(p[0].alias("x"), p[1].alias("y")))
+        left = signed_area(points) >= 0
+        return F.when(left == (i == 0), flat).otherwise(line(F.reverse(open_ring(ring))))
+
+    for kind, d in depth.items():
+        c = F.from_json("coordinates", "array<" * (d + 1) + "double" + ">" * (d + 1))
+        parts = {
+            "Point": F.array(pair(c)), "LineString": F.array(line(c)), "MultiLineString": F.transform(c, line),
+            "Polygon": F.transform(c, turned), "MultiPolygon": F.flatten(F.transform(c, lambda p: F.transform(p, turned))),
+        }[kind]
+        name = "polygon" if "Polygon" in kind else "line" if "Line" in kind else "point"
+        one = f.where(F.col("kind") == kind).select("tags", F.lit(name).alias("kind"), parts.alias("parts"))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def read_hgt(spark: SparkSession, path: str) -> DataFrame:
