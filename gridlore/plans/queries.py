@@ -10,24 +10,11 @@ from gridlore.functions import crs
 from gridlore.functions import geometry as G
 from gridlore.functions import scalars as S
 from gridlore.functions.simplify import simplify
-from gridlore.operators import assemble, mesh, raster, ribbon, spatial, tiles
+from gridlore.operators import assemble, layers, mesh, raster, ribbon, shapes, spatial, tiles
 from gridlore.operators import features as X
 from gridlore.plans import fixtures as fx
 from gridlore.plans.fixtures import with_sql
-
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def keep(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return keep
-
+from gridlore.plans.registry import query
 
 WATER_SQL = "type IN ('ECONOMY', 'LARGE', 'MEDIUM', 'PROMO')"
 CLIP_SQL = "greatest(xmin, 100) AS xmin, greatest(ymin, 100) AS ymin, least(xmax, 800) AS xmax, least(ymax, 800) AS ymax"
@@ -48,7 +35,7 @@ def water_topk(spark: SparkSession, d: str) -> DataFrame:
     return X.top_by_size(x.select("osm_id", "type", area.alias("est_area")), "est_area", "osm_id", 500)
 
 
-@query(with_sql("feat") + """ SELECT type, (type IN ('ECONOMY', 'LARGE', 'MEDIUM', 'PROMO')) AS water, type = 'SMALL' AS vegetation, type = 'STANDARD' AS buildings, count(*) AS n FROM feat GROUP BY type""")
+@query(with_sql("feat") + """ SELECT type, (type IN ('ECONOMY', 'LARGE', 'MEDIUM', 'PROMO')) AS water, type = 'SMALL' AS vegetation, type = 'STANDARD' AS buildings, false AS roads, false AS parks, count(*) AS n FROM feat GROUP BY type""")
 def tag_or_filter(spark, d):
     tags = F.col("tags")
     return fx.features(spark, d).select("type", *(S.tag_filter(tags, rule).alias(k) for k, rule in P.LAYERS.items())).groupBy("type", *P.LAYERS).agg(F.count(F.lit(1)).alias("n"))
@@ -117,11 +104,13 @@ def area_class(spark, d):
     return fx.table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), S.area_class((F.col("s_suppkey") % 80).cast("double")).alias("class"))
 
 
-@query(r"""SELECT p_partkey AS id, CASE WHEN p_partkey % 3 = 0 AND p_size > 0 THEN p_size::DOUBLE WHEN p_type = 'LARGE' THEN 500.0 WHEN p_type = 'PROMO' THEN 1000.0 ELSE 60.0 END::DOUBLE AS width FROM part""")
+@query(r"""SELECT p_partkey AS id, CASE WHEN p_partkey % 3 = 0 AND p_size > 0 THEN p_size::DOUBLE
+    ELSE coalesce([500.0, 1000.0, 30.0, 12.0, 6.0, 4.0][p_partkey % 7 + 1], 60.0) END::DOUBLE AS width FROM part""")
 def width_lookup(spark, d):
-    tag = F.when(F.col("p_partkey") % 3 == 0, F.col("p_size").cast("string")).when(F.col("p_partkey") % 3 == 1, "about 12").otherwise(None)
-    table = {"LARGE": P.STYLE.river_width_m, "PROMO": P.STYLE.riverbank_width_m}
-    return fx.table(spark, d, "part").select(F.col("p_partkey").alias("id"), S.line_width(tag, F.col("p_type"), table).alias("width"))
+    k = F.col("p_partkey")
+    tag = F.when(k % 3 == 0, F.col("p_size").cast("string")).when(k % 3 == 1, "about 12").otherwise(None)
+    kind = F.element_at(F.array(*map(F.lit, ("river", "riverbank", "canal", "stream", "drain", "ditch", "tidal_channel"))), (k % 7 + 1).cast("int"))
+    return fx.table(spark, d, "part").select(k.alias("id"), S.line_width(tag, kind, P.WATERWAY_WIDTHS).alias("width"))
 
 
 @query("SELECT s_suppkey AS id, 196.0::DOUBLE / greatest(1000 + s_suppkey, 1500 - s_suppkey % 700) AS scale FROM supplier")
@@ -142,12 +131,11 @@ def union_tiles(spark, d):
     return X.union_all(polygons, f.where("type = 'LARGE'").select(F.lit("line").alias("kind"))).groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.count("area").alias("with_area"))
 
 
-@query(with_sql("feat") + " SELECT seq, size, row_number() OVER (ORDER BY size DESC, seq) AS place FROM (SELECT seq, CASE WHEN type = 'LARGE' THEN (xmax - xmin)::DOUBLE ELSE ((xmax - xmin) * (ymax - ymin))::DOUBLE END AS size FROM feat) ORDER BY place LIMIT 1000")
+@query(with_sql("feat") + " SELECT seq, CASE WHEN type = 'LARGE' THEN (xmax - xmin)::DOUBLE ELSE ((xmax - xmin) * (ymax - ymin))::DOUBLE END AS size FROM feat ORDER BY size DESC, seq")
 def mixed_size_sort(spark, d):
-    """Polygons by area and lines by length in one order; the first 1000 places."""
+    """All features, polygons by area and lines by length in one order."""
     size = F.when(F.col("type") == "LARGE", (F.col("xmax") - F.col("xmin")).cast("double")).otherwise(X.box_area())
-    top = X.top_by_size(fx.features(spark, d).select("seq", size.alias("size")), "size", "seq", 1000)
-    return top.withColumn("place", F.row_number().over(Window.orderBy(F.desc("size"), "seq")))
+    return fx.features(spark, d).select("seq", size.alias("size")).orderBy(F.desc("size"), "seq")
 
 
 @query(with_sql("nodes") + " SELECT way, count(*) AS points, sum(pos * x)::BIGINT AS check_x, sum(pos * y)::BIGINT AS check_y FROM nodes GROUP BY way HAVING count(*) >= 2")
@@ -219,15 +207,18 @@ LENGTH_SQL = """, u AS (SELECT *, max(t1) OVER (PARTITION BY way, pos ORDER BY t
     l AS (SELECT way, sum(greatest(t1 - greatest(t0, coalesce(reach, 0)), 0) * length) AS water_length FROM u GROUP BY way)"""
 
 
+def _boxes_of(features):
+    return features.select(F.col("xmin").alias("bx0"), F.col("ymin").alias("by0"), F.col("xmax").alias("bx1"), F.col("ymax").alias("by1"))
+
+
 def _crossings(spark, d):
-    waters = _water(spark, d).select(F.col("xmin").alias("bx0"), F.col("ymin").alias("by0"), F.col("xmax").alias("bx1"), F.col("ymax").alias("by1"))
-    return spatial.crossings(fx.segments(spark, d), waters)
+    return spatial.crossings(fx.segments(spark, d), _boxes_of(_water(spark, d)))
 
 
 @query(CROSS_SQL + " SELECT o_orderkey AS way FROM orders WHERE o_orderkey % 10 = 0 AND o_orderkey IN (SELECT way FROM q)")
 def bridge_semi(spark, d):
     """Roads tagged as bridges that cross water."""
-    return spatial.bridges(_roads(spark, d), _crossings(spark, d).select("way")).select("way")
+    return spatial.bridges(_roads(spark, d), spatial.crossing_ways(fx.segments(spark, d), _boxes_of(_water(spark, d)))).select("way")
 
 
 @query(CROSS_SQL + LENGTH_SQL + " SELECT way, round(water_length, 5) AS water_length FROM l WHERE way % 10 = 0")
@@ -257,21 +248,29 @@ def _water_pair(spark, d):
     return w.where("type = 'LARGE'"), w.where("type <> 'LARGE'")
 
 
-@query(with_sql("feat") + PAIR_SQL + ", dom AS (SELECT DISTINCT b_id FROM pairs WHERE common > 0.3 * b_area) SELECT seq AS a_id FROM feat WHERE type = 'LARGE' AND seq NOT IN (SELECT a_id FROM pairs JOIN dom USING (b_id) WHERE common > 0.3 * a_area)")
+COVER_SQL = """, cell AS (SELECT DISTINCT x, y FROM (SELECT x, unnest(range(ymin, ymax)) AS y FROM (SELECT ymin, ymax, unnest(range(xmin, xmax)) AS x FROM feat WHERE type = 'LARGE'))),
+    own AS (SELECT seq, x, unnest(range(ymin, ymax)) AS y FROM (SELECT seq, ymin, ymax, unnest(range(xmin, xmax)) AS x FROM feat WHERE type IN ('ECONOMY', 'MEDIUM', 'PROMO'))),
+    dom AS (SELECT seq AS b_id FROM own LEFT JOIN cell USING (x, y) GROUP BY seq HAVING count(cell.x) > 0.3 * count(*))"""
+
+
+def _regions(features: DataFrame) -> DataFrame:
+    return features.select(F.col("seq").alias("id"), shapes.box_region("xmin", "ymin", "xmax", "ymax").alias("rings"))
+
+
+@query(with_sql("feat") + PAIR_SQL.replace("WHERE a.type", "AND a.type") + COVER_SQL + " SELECT seq AS a_id FROM feat WHERE type = 'LARGE' AND seq NOT IN (SELECT a_id FROM pairs JOIN dom USING (b_id) WHERE common > 0.3 * a_area)")
 def overlap_anti_polygon(spark, d):
-    """Polygon wins: a line's box goes if a polygon that a line covers by over 0.3 covers it by over 0.3."""
+    """Polygon wins: a polygon that the lines' boxes together cover by over 0.3 is dominant; a line's box goes if any dominant polygon covers it by over 0.3."""
     lines, polygons = _water_pair(spark, d)
-    met = spatial.box_join(_sides(polygons, "a", "a_id"), _sides(lines, "b"))
-    strong = met.where(spatial.overlap_area() > P.OVERLAP * (F.col("ax1") - F.col("ax0")) * (F.col("ay1") - F.col("ay0"))).select("a_id")
-    dominant = polygons.join(strong, "a_id", "left_semi")
+    shares = shapes.covered_shares(_regions(polygons), _regions(lines), 64.0)
+    dominant = polygons.join(shares.where(F.col("share") > P.OVERLAP).select(F.col("id").alias("a_id")), "a_id", "left_semi")
     return spatial.dominated(_sides(lines, "a", "a_id"), _sides(dominant, "b")).select("a_id")
 
 
-@query(with_sql("feat") + PAIR_SQL + " SELECT seq AS a_id FROM feat WHERE type IN ('ECONOMY', 'MEDIUM', 'PROMO') AND seq NOT IN (SELECT b_id FROM pairs WHERE common > 0.3 * b_area)")
+@query(with_sql("feat") + COVER_SQL + " SELECT seq AS a_id FROM feat WHERE type IN ('ECONOMY', 'MEDIUM', 'PROMO') AND seq NOT IN (SELECT b_id FROM dom)")
 def overlap_anti_line(spark, d):
-    """Line wins: a polygon goes if a line's box covers it by over 0.3."""
+    """Line wins: a polygon goes if the lines' boxes together cover it by over 0.3."""
     lines, polygons = _water_pair(spark, d)
-    return spatial.dominated(_sides(polygons, "a", "a_id"), _sides(lines, "b")).select("a_id")
+    return shapes.without_covered(_regions(polygons), _regions(lines), 64.0, P.OVERLAP).select(F.col("id").alias("a_id"))
 
 
 @query(with_sql("feat") + """, b AS (SELECT * FROM feat WHERE type = 'STANDARD'), o AS (SELECT * FROM feat WHERE type IN ('ECONOMY', 'LARGE', 'MEDIUM', 'PROMO'))
@@ -282,20 +281,22 @@ def building_conflict(spark, d):
     return spatial.dominated(_sides(houses, "a", "a_id"), _sides(_water(spark, d), "b")).select("a_id")
 
 
-@query(with_sql("feat", "grid") + """, w AS (SELECT seq, xmin, xmax, ymin, ymax FROM feat WHERE type = 'ECONOMY'),
-    i AS (SELECT w.seq, g.row, g.col, g.z FROM w JOIN grid g ON g.col > w.xmin % 60 AND g.col < w.xmin % 60 + 8 AND g.row > w.ymin % 400 AND g.row < w.ymin % 400 + 8 AND z IS NOT NULL),
-    l AS (SELECT seq, quantile_cont(z, 0.25) AS level FROM i GROUP BY seq),
-    c AS (SELECT row, col, min(level - 1) AS level FROM i JOIN l USING (seq) GROUP BY row, col)
-    SELECT count(*) AS carved, round(sum(g.z - c.level), 6) AS depth FROM grid g JOIN c USING (row, col) WHERE g.z > c.level""")
+@query(with_sql("feat", "grid") + """, m AS (SELECT max(row) AS r FROM grid),
+    w AS (SELECT seq, xmin % 48 + 3.5 AS x0, ymin % (r - 20) + 4.5 AS y0, xmin % 48 + 6.5 + seq % 7 AS x1, ymin % (r - 20) + 7.5 + seq % 5 AS y1 FROM feat, m WHERE type = 'ECONOMY'),
+    p AS (SELECT seq, k, CASE WHEN k IN (1, 2) THEN x1 ELSE x0 END AS px, CASE WHEN k IN (2, 3) THEN y1 ELSE y0 END AS py FROM (SELECT *, unnest(range(0, 5)) AS k FROM w WHERE (x1 - x0) * (y1 - y0) >= 20)),
+    q AS (SELECT *, unnest(range(floor(px)::BIGINT - 2, floor(px)::BIGINT + 4)) AS col FROM p),
+    n AS (SELECT seq, k, z, row_number() OVER (PARTITION BY seq, k ORDER BY (g.col - px) * (g.col - px) + (g.row - py) * (g.row - py), g.row, g.col) AS i
+          FROM (SELECT *, unnest(range(floor(py)::BIGINT - 2, floor(py)::BIGINT + 4)) AS row FROM q) q JOIN grid g ON g.row = q.row AND g.col = q.col WHERE z IS NOT NULL),
+    l AS (SELECT seq, quantile_cont(z, 0.25) AS level FROM (SELECT seq, k, max(z) AS z FROM n WHERE i <= 8 GROUP BY seq, k) GROUP BY seq),
+    c AS (SELECT row, col, min(level - 1) AS floor FROM (SELECT *, unnest(range(ceil(y0)::BIGINT, floor(y1)::BIGINT + 1)) AS row FROM (SELECT *, unnest(range(ceil(x0)::BIGINT, floor(x1)::BIGINT + 1)) AS col FROM w JOIN l USING (seq))) GROUP BY row, col)
+    SELECT row, col, round(CASE WHEN z > c.floor THEN c.floor ELSE z END, 6) AS z FROM grid LEFT JOIN c USING (row, col)""")
 def pip_carve(spark, d):
-    """Grid vertices inside a water box go down to a metre below the first quartile of the heights in it; the lowest of several."""
-    g = fx.raster(spark, d).where("z IS NOT NULL")
-    w = fx.features(spark, d).where("type = 'ECONOMY'").select("seq", F.explode(F.sequence(F.col("xmin") % 60 + 1, F.col("xmin") % 60 + 7)).alias("col"), F.col("ymin").alias("y"))
-    w = w.select("seq", "col", F.explode(F.sequence(F.col("y") % 400 + 1, F.col("y") % 400 + 7)).alias("row"))
-    inside = w.join(g, ["row", "col"])
-    level = inside.groupBy("seq").agg(F.percentile("z", F.lit(0.25)).alias("level"))
-    carve = inside.join(level, "seq").groupBy("row", "col").agg(F.min(F.col("level") - 1).alias("level"))
-    return g.join(carve, ["row", "col"]).where("z > level").agg(F.count(F.lit(1)).alias("carved"), F.round(F.sum(F.col("z") - F.col("level")), 6).alias("depth"))
+    """The ground with its vertices inside water polygons lowered to a metre under the lower quartile of the polygon's outline; the lowest of several."""
+    g = fx.raster(spark, d)
+    r, k = F.col("rows") - 1, F.col("seq")
+    x0, y0 = F.col("xmin") % 48 + 3.5, F.col("ymin") % (r - 20) + 4.5
+    w = raster.with_shape(fx.features(spark, d).where("type = 'ECONOMY'"), g).select(k.alias("id"), shapes.box_region(x0, y0, x0 + 3 + k % 7, y0 + 3 + k % 5).alias("rings"))
+    return layers.carve(g, w, 20.0).select("row", "col", F.round("z", 6).alias("z"))
 
 
 POINT_SQL = ", pt AS (SELECT s_suppkey AS id, (s_suppkey * 7 % 480) / 16.0::DOUBLE + 2.25::DOUBLE AS py, (s_suppkey * 11 % 900) / 16.0::DOUBLE + 2.5::DOUBLE AS px FROM supplier)"
@@ -306,20 +307,28 @@ def _points(spark, d):
     return fx.table(spark, d, "supplier").select(k.alias("id"), ((k * 7 % 480) / 16.0 + 2.25).alias("py"), ((k * 11 % 900) / 16.0 + 2.5).alias("px"))
 
 
-@query(with_sql("grid") + POINT_SQL + " SELECT id, row, col, z FROM pt JOIN grid ON row = round_even(py, 0) AND col = least(63, round_even(px, 0))")
+@query(with_sql("grid") + POINT_SQL + ", m AS (SELECT max(row) AS r FROM grid) SELECT id, row, col, z FROM pt CROSS JOIN m JOIN grid ON row = round_even(py / 33.0::DOUBLE * r, 0) AND col = least(63, round_even(px / 63.0::DOUBLE * 63, 0))")
 def grid_sample(spark, d):
-    p = _points(spark, d).select("id", (F.col("py") / 499).alias("u"), (F.col("px") / 63).alias("v"))
-    return raster.sample_nearest(p, fx.raster(spark, d), 500, 64)
+    p = _points(spark, d).select("id", (F.col("py") / 33).alias("u"), (F.col("px") / 63).alias("v"))
+    return raster.sample_nearest(p, fx.raster(spark, d))
+
+
+@query(with_sql("grid") + POINT_SQL + """, m AS (SELECT max(row) AS r FROM grid), s AS (SELECT row, col, z, lead(z) OVER (PARTITION BY row ORDER BY col) AS zr, lead(z) OVER (PARTITION BY col ORDER BY row) AS zu FROM grid),
+    t AS (SELECT row, col, sqrt((zr - z) * (zr - z) + (zu - z) * (zu - z)) AS slope FROM s), e AS (SELECT max(row) AS r, max(col) AS c FROM t WHERE slope IS NOT NULL)
+    SELECT id, round(slope, 6) AS slope, slope > 0.05 AS steep FROM pt CROSS JOIN e LEFT JOIN t ON row = round_even(py / 33.0::DOUBLE * r, 0) AND col = least(c, round_even(px / 63.0::DOUBLE * c, 0))""")
+def slope_sample(spark, d):
+    p = _points(spark, d).select("id", (F.col("py") / 33).alias("u"), (F.col("px") / 63).alias("v"))
+    return raster.sample_slope(p, fx.raster(spark, d)).select("id", F.round("slope", 6).alias("slope"), "steep")
 
 
 @query(with_sql("grid") + POINT_SQL + """, k AS (SELECT id, py, least(px, 63.0) AS px FROM pt), b AS (SELECT id, py, px, floor(py) AS r, least(floor(px), 62) AS c FROM k)
     SELECT id, CASE WHEN count(z) = 4 THEN round(sum(z * (1 - abs(row - py)) * (1 - abs(col - px))), 6) END AS z FROM b JOIN grid ON row IN (r, r + 1) AND col IN (c, c + 1) GROUP BY id""")
 def bilinear(spark, d):
     p = _points(spark, d).select("id", F.col("py").alias("fr"), F.col("px").alias("fc"))
-    return raster.bilinear(p, fx.raster(spark, d), 500, 64).select("id", F.round("z", 6).alias("z"))
+    return raster.bilinear(p, fx.raster(spark, d)).select("id", F.round("z", 6).alias("z"))
 
 
-@query(with_sql("grid") + POINT_SQL + """, n AS (SELECT id, z, row_number() OVER (PARTITION BY id ORDER BY (col - px) * (col - px) + (row - py) * (row - py), row, col) AS k FROM pt JOIN grid ON row BETWEEN floor(py) - 2 AND floor(py) + 3 AND col BETWEEN floor(px) - 2 AND floor(px) + 3 WHERE z IS NOT NULL)
+@query(with_sql("grid") + POINT_SQL + """, n AS (SELECT id, z, row_number() OVER (PARTITION BY id ORDER BY (col - px) * (col - px) + (row - py) * (row - py), row, col) AS k FROM pt JOIN grid ON row BETWEEN floor(py) - 7 AND floor(py) + 8 AND col BETWEEN floor(px) - 7 AND floor(px) + 8 WHERE z IS NOT NULL)
     SELECT id, max(z) AS z FROM n WHERE k <= 8 GROUP BY id""")
 def knn_max8(spark, d):
     """The highest of the eight nearest grid vertices."""
@@ -332,8 +341,7 @@ def knn_max8(spark, d):
     SELECT row, col, round(z, 6) AS z FROM h""")
 def gauss_smooth(spark, d):
     g = fx.raster(spark, d).withColumn("z", F.coalesce("z", F.lit(0.0)))
-    rows = g.agg(F.max("row")).first()[0] + 1
-    return raster.gaussian(g, 1.0, rows, 64).select("row", "col", F.round("z", 6).alias("z"))
+    return raster.gaussian(g, 1.0).select("row", "col", F.round("z", 6).alias("z"))
 
 
 @query(with_sql("grid") + " SELECT round(max(z) - min(z), 6) AS z_range, round(stddev_pop(z), 6) AS z_std, count(*) FILTER (WHERE z IS NULL) AS missing, CASE WHEN max(z) - min(z) < 30 AND stddev_pop(z) < 10 THEN 'flat' WHEN max(z) - min(z) > 100 OR stddev_pop(z) > 30 THEN 'mountain' ELSE 'moderate' END AS kind FROM grid")
@@ -346,30 +354,54 @@ def slope_grid(spark, d):
     return raster.slope(fx.raster(spark, d)).select("row", "col", F.round("slope", 6).alias("slope"))
 
 
-@query(with_sql("grid") + ", m AS (SELECT min(z) AS a, max(z) AS b FROM grid) SELECT row, col, trunc(70 + 150 * ((z - a) / (b - a)))::INTEGER AS red FROM grid, m WHERE z IS NOT NULL")
+#: The colours of low and of high ground.
+LOW_GROUND, HIGH_GROUND = (200, 210, 170), (120, 95, 60)
+
+
+@query(with_sql("grid") + """, m AS (SELECT min(z) AS a, max(z) AS b FROM grid), t AS (SELECT row, col, greatest(0, least(1, (z - a) / (b - a))) * 0.4::DOUBLE AS t FROM grid, m WHERE z IS NOT NULL)
+    SELECT row, col, trunc(200 * (1 - t) + 120 * t)::INTEGER AS red, trunc(210 * (1 - t) + 95 * t)::INTEGER AS green, trunc(170 * (1 - t) + 60 * t)::INTEGER AS blue, 255 AS alpha FROM t""")
 def colour_ramp(spark, d):
     g = fx.raster(spark, d).where("z IS NOT NULL")
     ends = g.agg(F.min("z").alias("a"), F.max("z").alias("b"))
-    return g.crossJoin(F.broadcast(ends)).select("row", "col", S.ramp(F.col("z"), F.col("a"), F.col("b"), 70, 220).alias("red"))
+    x = g.crossJoin(F.broadcast(ends)).withColumn("c", S.ramp(F.col("z"), F.col("a"), F.col("b"), LOW_GROUND, HIGH_GROUND))
+    return x.select("row", "col", *(F.col("c")[k].alias(n) for k, n in enumerate(("red", "green", "blue", "alpha"))))
+
+
+ENDS_SQL = ", m AS (SELECT row % 3 AS part, CASE WHEN row % 3 = 0 THEN 5.0 ELSE min(z) END::DOUBLE AS a, CASE WHEN row % 3 = 0 THEN 5.0 ELSE max(z) * CASE WHEN row % 3 = 1 THEN 1 ELSE 400 END END::DOUBLE AS b FROM grid WHERE z IS NOT NULL GROUP BY row % 3)"
+
 
+def _with_ends(spark, d):
+    """The raster in three parts: flat, low and high ground."""
+    g = fx.raster(spark, d).where("z IS NOT NULL").withColumn("part", F.col("row") % 3)
+    most = F.max("z") * F.when(F.col("part") == 1, 1).otherwise(400)
+    ends = g.groupBy("part").agg(F.min("z").alias("lo"), most.alias("hi"))
+    ends = ends.select("part", *(F.when(F.col("part") == 0, 5.0).otherwise(F.col(c)).alias(n) for c, n in (("lo", "a"), ("hi", "b"))))
+    return g.join(F.broadcast(ends), "part")
 
-@query(with_sql("grid") + ", m AS (SELECT min(z) AS a, max(z) AS b FROM grid) SELECT row, col, round(3.5 + pow((z - a) / (b - a), 0.45) * 1.5, 6) AS mm FROM grid, m WHERE z IS NOT NULL")
+
+@query(with_sql("grid") + ENDS_SQL + " SELECT row, col, round(CASE WHEN b - a > 0.01 THEN pow((z - a) / (b - a), 0.45) * 4.0 ELSE 2.0 END - 0.17, 6) AS mm FROM grid JOIN m ON part = row % 3 WHERE z IS NOT NULL")
 def relief_curve(spark, d):
-    """Elevation to 3.5-5.0 mm along a power curve."""
-    g = fx.raster(spark, d).where("z IS NOT NULL")
-    ends = g.agg(F.min("z").alias("a"), F.max("z").alias("b"))
-    t = (F.col("z") - F.col("a")) / (F.col("b") - F.col("a"))
-    return g.crossJoin(F.broadcast(ends)).select("row", "col", F.round(3.5 + F.pow(t, F.lit(0.45)) * 1.5, 6).alias("mm"))
+    """Elevation to the model's surface along a power curve; the middle on flat ground."""
+    return _with_ends(spark, d).select("row", "col", F.round(S.terrain_z(F.col("z"), F.col("a"), F.col("b")), 6).alias("mm"))
 
 
-@query(with_sql("city") + ", b AS (SELECT city, lat, lon FROM city WHERE city % 10 = 0) SELECT b.city AS centre, c.city AS near FROM b JOIN city c ON abs(b.lat - c.lat) <= 1000000 AND abs(b.lon - c.lon) <= 1000000")
+@query(with_sql("grid") + ENDS_SQL + """, t AS (SELECT *, CASE WHEN b - a < 0.01 THEN 4.25 ELSE greatest(3.5, least(5.0, 200.0 * (b - a) / 25000.0 / 0.025)) END::DOUBLE AS thick FROM m)
+    SELECT row, col, round(CASE WHEN b - a > 0.01 THEN (z - a) / (b - a) * thick ELSE thick / 2 END, 6) AS mm, round(thick, 6) AS thick FROM grid JOIN t ON part = row % 3 WHERE z IS NOT NULL""")
+def relief_mapping(spark, d):
+    """Elevation to millimetres by the range of heights, within bounds."""
+    ends = (F.col("a"), F.col("b"))
+    return _with_ends(spark, d).select("row", "col", F.round(S.relief_z(F.col("z"), *ends), 6).alias("mm"), F.round(S.relief_thickness(*ends), 6).alias("thick"))
+
+
+@query(with_sql("city") + " SELECT b.city AS centre, c.city AS near FROM city b JOIN city c ON abs(b.lat - c.lat) <= 1000000 AND abs(b.lon - c.lon) <= 1000000")
 def city_band_join(spark, d):
-    """Cities within a degree of each window's centre; bands of a degree make it an equi-join."""
+    """Cities within a degree of each city; cells of a degree make it an equi-join."""
     c, one = fx.cities(spark, d), 1_000_000
-    centre = c.where(F.col("city") % 10 == 0).select(F.col("city").alias("centre"), F.col("lat").alias("clat"), F.col("lon").alias("clon"))
-    centre = centre.withColumn("band", F.explode(F.sequence(F.floor(F.col("clat") / one) - 1, F.floor(F.col("clat") / one) + 1)))
-    near = c.select(F.col("city").alias("near"), "lat", "lon", F.floor(F.col("lat") / one).alias("band"))
-    return centre.join(near, "band").where((F.abs(F.col("clat") - F.col("lat")) <= one) & (F.abs(F.col("clon") - F.col("lon")) <= one)).select("centre", "near")
+    around = lambda x: F.explode(F.sequence(F.floor(F.col(x) / one) - 1, F.floor(F.col(x) / one) + 1))
+    centre = c.select(F.col("city").alias("centre"), F.col("lat").alias("clat"), F.col("lon").alias("clon"))
+    centre = centre.withColumn("y", around("clat")).withColumn("x", around("clon"))
+    near = c.select(F.col("city").alias("near"), "lat", "lon", F.floor(F.col("lat") / one).alias("y"), F.floor(F.col("lon") / one).alias("x"))
+    return centre.join(near, ["y", "x"]).where((F.abs(F.col("clat") - F.col("lat")) <= one) & (F.abs(F.col("clon") - F.col("lon")) <= one)).select("centre", "near")
 
 
 BOX_SQL = with_sql("city") + """, b AS (SELECT city, lat AS lat0, lon AS lon0, lat + 40000 + city * 1000 % 90000 AS lat1, lon + 30000 + city * 1700 % 90000 AS lon1 FROM city),
@@ -398,8 +430,7 @@ FACE_SQL = with_sql("grid") + """, m AS (SELECT max(row) AS r FROM grid), q AS (
 
 
 def _faces(spark, d):
-    g = fx.raster(spark, d)
-    return raster.heightfield_faces(g, g.agg(F.max("row")).first()[0] + 1, 64)
+    return raster.heightfield_faces(fx.raster(spark, d))
 
 
 @query(FACE_SQL + " SELECT fid, v1, v2, v3 FROM f")
@@ -480,17 +511,17 @@ def cache_path_policy(spark, d):
     return tiles.choose_path(paths.orderBy("priority"))
 
 
-@query(with_sql("city") + " SELECT city, printf('N%02d', lat // 1000000) || printf('E%03d', lon // 1000000) || '.hgt' AS tile, (floor((lon / 1000000.0 + 180) / 6) + 1)::INTEGER AS zone, 32600 + (floor((lon / 1000000.0 + 180) / 6) + 1)::INTEGER AS epsg FROM city")
+@query(with_sql("city") + " SELECT city, printf('N%02d', lat // 1000000) || printf('E%03d', lon // 1000000) || '.hgt' AS tile, (floor((lon / 1000000.0 + 180) / 6) + 1)::INTEGER AS zone, CASE WHEN city % 2 = 0 THEN 32600 ELSE 32700 END + (floor((lon / 1000000.0 + 180) / 6) + 1)::INTEGER AS epsg FROM city")
 def hgt_and_zone(spark, d):
     lat, lon = (F.floor(F.col(c) / 1_000_000) for c in ("lat", "lon"))
     zone = S.utm_zone(F.col("lon") / 1_000_000)
-    return fx.cities(spark, d).select("city", S.hgt_name(lat, lon).alias("tile"), zone.alias("zone"), (zone + 32600).alias("epsg"))
+    return fx.cities(spark, d).select("city", S.hgt_name(lat, lon).alias("tile"), zone.alias("zone"), S.utm_epsg(F.col("lon") / 1_000_000, F.col("lat") * F.when(F.col("city") % 2 == 0, 1).otherwise(-1)).alias("epsg"))
 
 
-@query("SELECT p_partkey AS id, replace(replace(replace(replace(p_name || ' <&\">', '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;') AS escaped, (p_partkey % 256)::INTEGER AS red, printf('%.6f', p_retailprice) AS price FROM part")
+@query("SELECT p_partkey AS id, replace(replace(replace(replace(p_name || ' <&\">', '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;') AS escaped, (p_partkey % 256)::INTEGER AS red, (p_size % 256)::INTEGER AS green, printf('%.6f', p_retailprice) AS price FROM part")
 def text_scalars(spark, d):
-    colour = F.format_string("#%02x00ff", F.col("p_partkey") % 256)
-    return fx.table(spark, d, "part").select(F.col("p_partkey").alias("id"), S.xml_escape(F.concat("p_name", F.lit(' <&">'))).alias("escaped"), S.hex_channel(colour, 0).alias("red"), F.format_string("%.6f", "p_retailprice").alias("price"))
+    colour = S.hex_colour(F.format_string("#%02x%02xff", F.col("p_partkey") % 256, F.col("p_size") % 256))
+    return fx.table(spark, d, "part").select(F.col("p_partkey").alias("id"), S.xml_escape(F.concat("p_name", F.lit(' <&">'))).alias("escaped"), colour[0].alias("red"), colour[1].alias("green"), F.format_string("%.6f", "p_retailprice").alias("price"))
 
 
 @query()
