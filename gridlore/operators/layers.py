@@ -207,6 +207,18 @@ def excluded(buildings_: DataFrame | None = None, roads_: DataFrame | None = Non
     return first
 
 
+def without_conflicts(houses: DataFrame, water_: DataFrame, roads_: DataFrame, cell: float = 1000.0) -> DataFrame:
+    """The houses (id, rings) of which water covers no more than its share, and wide roads no more than half."""
+    dry = shapes.without_covered(houses, water_, cell, P.OVERLAP)
+    return shapes.without_covered(dry, roads_, cell, P.ROAD_OVERLAP)
+
+
+def wide_roads(roads_: DataFrame) -> DataFrame:
+    """id and rings of the motorways, trunk and primary roads (id, highway, line) at the width that they are shown with."""
+    kept = roads_.where(F.col("highway").isin("motorway", "trunk", "primary"))
+    return kept.select("id", shapes.buffer_flat("line", S.road_width(F.col("highway")) / 2).alias("rings"))
+
+
 def exclusion_columns(buildings_: DataFrame, ground: DataFrame, scale: float, step: float = 1.0) -> tuple[DataFrame, DataFrame]:
     """Vertices and faces of the columns over buildings (id, rings) that vegetation is cut with, from under the plants to over the roofs."""
     x = _on_ground(polygons_of(buildings_.select("id", "rings"), P.EXCLUDED_BUILDING_M2).select(_name("id", "part"), "rings"), ground, step)

@@ -273,12 +273,15 @@ def overlap_anti_line(spark, d):
     return shapes.without_covered(_regions(polygons), _regions(lines), 64.0, P.OVERLAP).select(F.col("id").alias("a_id"))
 
 
-@query(with_sql("feat") + """, b AS (SELECT * FROM feat WHERE type = 'STANDARD'), o AS (SELECT * FROM feat WHERE type IN ('ECONOMY', 'LARGE', 'MEDIUM', 'PROMO'))
-    SELECT seq AS a_id FROM b WHERE NOT EXISTS (SELECT 1 FROM o WHERE greatest(least(b.xmax, o.xmax) - greatest(b.xmin, o.xmin), 0) * greatest(least(b.ymax, o.ymax) - greatest(b.ymin, o.ymin), 0) > 0.3 * (b.xmax - b.xmin) * (b.ymax - b.ymin))""")
+@query(with_sql("feat") + """, cell AS (SELECT kind, x, y FROM (SELECT kind, x, unnest(range(ymin, ymax)) AS y FROM (SELECT type = 'LARGE' AS kind, ymin, ymax, unnest(range(xmin, xmax)) AS x FROM feat WHERE type IN ('ECONOMY', 'LARGE', 'MEDIUM', 'PROMO'))) GROUP BY ALL),
+    own AS (SELECT seq, x, unnest(range(ymin, ymax)) AS y FROM (SELECT seq, ymin, ymax, unnest(range(xmin, xmax)) AS x FROM feat WHERE type = 'STANDARD')),
+    n AS (SELECT seq, count(*) AS whole FROM own GROUP BY seq), c AS (SELECT seq, count(*) FILTER (WHERE kind) AS road, count(*) FILTER (WHERE NOT kind) AS water FROM own JOIN cell USING (x, y) GROUP BY seq)
+    SELECT n.seq AS a_id FROM n LEFT JOIN c USING (seq) WHERE coalesce(water, 0) <= 0.3 * whole AND coalesce(road, 0) <= 0.5 * whole""")
 def building_conflict(spark, d):
-    """Buildings that no water covers by over 0.3."""
-    houses = fx.features(spark, d).where("type = 'STANDARD'").withColumn("a_id", F.col("seq"))
-    return spatial.dominated(_sides(houses, "a", "a_id"), _sides(_water(spark, d), "b")).select("a_id")
+    """Buildings that water covers by no more than 0.3, and wide roads (the rivers' boxes here) by no more than half."""
+    f = fx.features(spark, d)
+    houses = _regions(f.where("type = 'STANDARD'"))
+    return layers.without_conflicts(houses, _regions(f.where("type IN ('ECONOMY', 'MEDIUM', 'PROMO')")), _regions(f.where("type = 'LARGE'")), 64.0).select(F.col("id").alias("a_id"))
 
 
 @query(with_sql("feat", "grid") + """, m AS (SELECT max(row) AS r FROM grid),

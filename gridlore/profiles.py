@@ -41,6 +41,8 @@ REAL_RANGE, MODEL_RANGE = (5.0, 150.0), (3.0, 5.3)
 SMALL_KM2, MEDIUM_KM2 = 5.0, 50.0
 #: Overlap above which one water feature wins over another.
 OVERLAP = 0.3
+#: Overlap above which a road takes a building's place.
+ROAD_OVERLAP = 0.5
 DEFAULT_LINE_WIDTH = 60.0
 
 # Metres of waterways and roads by their tag.

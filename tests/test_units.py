@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from gridlore.functions import geometry as G
 from gridlore.functions import scalars as S
-from gridlore.operators import assemble, mesh
+from gridlore.operators import assemble, layers, mesh
 from gridlore.operators import features as X
 from gridlore.sources import osm, threemf
 
@@ -172,3 +172,52 @@ def test_ribbon_keeps_its_width(spark):
     solids = {r.object: r for r in mesh.report(*ribbon.box(ribbon.mitred_edges(df, 2.0), 1.0, 0.5)).collect()}
     assert set(solids) == {"1", "3"} and all(r.open_edges == 0 and r.degenerate == 0 for r in solids.values())
     assert abs(solids["3"].volume - 5 * 4 * 0.5) < 1e-9 and solids["1"].faces == 20 and abs(solids["1"].volume - 20 * 4 * 0.5) < 1e-9
+
+
+def test_each_model_rule(spark):
+    flat = lambda name, z, base, n=10: [(name, [(base + 3 * i, 0.0 + i, 0.0, z), (base + 3 * i + 1, 1.0 + i, 0.0, z), (base + 3 * i + 2, 0.0 + i, 1.0, z)]) for i in range(n)]
+    model = {
+        "terrain_surface": [("terrain_surface", [(0, 0.0, 0.0, 0.0), (1, 196.0, 0.0, 4.0), (2, 0.0, 196.0, 2.0)])],
+        "terrain_walls": [("terrain_walls", [(0, 0.0, 0.0, 0.0), (1, 196.0, 0.0, 0.0), (2, 0.0, 0.0, 4.0)])],
+        "buildings": [("buildings", [(0, 5.0, 5.0, 3.0), (1, 6.0, 5.0, 9.0), (2, 5.0, 6.0, 3.0)])],
+        "roads": [*flat("roads", 4.5, 0, 1), *flat("roads", 5.0, 3, 1)],
+        "water": [("water", [(0, 0.0, 0.0, -2.0), (1, 9.0, 0.0, -2.0), (2, 0.0, 0.0, -1.4)])],
+        "vegetation": [*flat("vegetation", 4.1, 0), *flat("vegetation", 4.3, 30)],
+    }
+    extruders = {"terrain_surface": 1, "terrain_walls": 1, "buildings": 1, "roads": 2, "water": 3, "vegetation": 4}
+
+    def failing(change=None, given=None):
+        m = {**model, **(change or {})}
+        points = [(name, *map(float, ()), *p) for parts in m.values() for name, ps in parts for p in ps]
+        faces = [(name, i, *(p[0] for p in ps)) for parts in m.values() for i, (name, ps) in enumerate(parts)]
+        v = spark.createDataFrame(points, "object string, vid long, x double, y double, z double")
+        f = spark.createDataFrame(faces, "object string, fid long, v1 long, v2 long, v3 long")
+        rows = lambda e: spark.createDataFrame(list(e.items()), "object string, extruder int")
+        rules = mesh.check_model(v, f, rows(given or extruders), rows(extruders))
+        return {r.rule for r in rules.collect() if not r.passed}, mesh.verdict(rules).first()[0], [r.line for r in mesh.rule_text(rules).orderBy("at").collect()]
+
+    assert failing()[:2] == (set(), True) and failing()[2][-1] == "model passed" and len(failing()[2]) == 13
+    up = lambda name, by: {name: [(n, [(k, x, y, z * by) for k, x, y, z in ps]) for n, ps in model[name]]}
+    assert failing({"terrain_walls": []})[:2] == ({"V2"}, False)
+    assert "V1" in failing({"terrain_surface": [("terrain_surface", [(0, 0.0, 0.0, 0.0), (1, 150.0, 0.0, 4.0), (2, 0.0, 150.0, 2.0)])], "terrain_walls": [("terrain_walls", [(0, 0.0, 0.0, 0.0), (1, 150.0, 0.0, 0.0), (2, 0.0, 0.0, 4.0)])]})[0]
+    assert "V3" in failing({**up("terrain_surface", 2.0), **up("terrain_walls", 2.0)})[0]
+    assert failing(up("buildings", 3.0))[0] == {"V4", "V5"}
+    assert failing({"buildings": [("buildings", [(0, 5.0, 5.0, -3.0), (1, 6.0, 5.0, 9.0), (2, 5.0, 6.0, 3.0)])]})[0] == {"V5"}
+    assert failing({"roads": [("roads", [(0, 0.0, 0.0, 4.0), (2, 0.0, 1.0, 4.0), (1, 1.0, 0.0, 4.6)])]})[0] == {"V6"}
+    assert failing({"roads": flat("roads", 5.0, 0)})[0] == {"V7"}
+    assert failing({"water": [("water", [(0, 0.0, 0.0, -2.0), (1, 9.0, 0.0, -2.0), (2, 0.0, 0.0, -1.8)])]})[0] == {"V8"}
+    assert failing({"water": [("water", [(0, 0.0, 0.0, -2.0), (1, 90.0, 0.0, -2.0), (2, 0.0, 90.0, -1.0)])]})[0] == {"V9"}
+    assert failing(given={**extruders, "roads": 4})[0] == {"V10"} and failing(given={k: v for k, v in extruders.items() if k != "roads"})[0] == set()
+    assert failing({"vegetation": flat("vegetation", 4.1, 0)})[0] == {"V11"}
+    assert failing({"vegetation": [("vegetation", [(0, 0.0, 0.0, 4.1), (1, 1.0, 0.0, 4.1), (2, 0.0, 1.0, 4.9)])]})[0] == {"V12"}
+    assert failing(dict.fromkeys(("buildings", "roads", "water", "vegetation"), []))[0] == set()
+
+
+def test_houses_in_the_way(spark):
+    box = lambda x, y, w, h: [[float(v) for v in (x, y, x + w, y, x + w, y + h, x, y + h)]]
+    table = lambda rows: spark.createDataFrame(rows, "id int, rings array<array<double>>")
+    houses = table([(1, box(0, 0, 10, 10)), (2, box(20, 0, 10, 10)), (3, box(40, 0, 10, 10)), (4, box(60, 0, 10, 10))])
+    roads = spark.createDataFrame([(1, "primary", [35.0, 3.0, 55.0, 3.0]), (2, "service", [15.0, 3.0, 35.0, 3.0])], "id int, highway string, line array<double>")
+    assert layers.wide_roads(roads).count() == 1
+    kept = layers.without_conflicts(houses, table([(1, box(0, 0, 2, 10)), (2, box(1, 0, 3, 10)), (3, box(60, 0, 3, 10))]), layers.wide_roads(roads), 16.0)
+    assert sorted(r.id for r in kept.collect()) == [2, 4]
