@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from gridlore import profiles as P
 from gridlore.functions import scalars as S
+from gridlore.functions.geometry import counter_clockwise
 from gridlore.operators import features as X
 from gridlore.operators import shapes, tiles
 
@@ -67,13 +68,13 @@ def water_category(tags: Column) -> Column:
 
 
 def way_shapes(ways: DataFrame, nodes: DataFrame) -> DataFrame:
-    """id, tags, kind and parts of ways: points in order, unknown nodes left out; four points or more that close are a polygon; a way of one point goes."""
+    """id, tags, kind and parts of ways: points in order, unknown nodes left out; four points or more that close are a polygon, turned counter-clockwise; a way of one point goes."""
     at = nodes.select(F.col("id").alias("node"), "lon", "lat")
     placed = ways.select("id", F.posexplode("nodes").alias("pos", "node")).join(at, "node").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("pos", F.col("lon").alias("x"), F.col("lat").alias("y")))).alias("p"))
     closed = (F.size("p") >= 4) & (F.col("p")[0]["x"] == F.element_at("p", -1)["x"]) & (F.col("p")[0]["y"] == F.element_at("p", -1)["y"])
     out = placed.where(F.size("p") >= 2).withColumn("closed", closed)
-    ring = shapes.flat_ring(F.transform("p", lambda q: F.struct(q["x"], q["y"])))
-    line = shapes.flat_line(F.transform("p", lambda q: F.struct(q["x"], q["y"])))
+    points = F.transform("p", lambda q: F.struct(q["x"], q["y"]))
+    ring, line = shapes.flat_ring(counter_clockwise(points)), shapes.flat_line(points)
     kind = F.when(F.col("closed"), "polygon").otherwise("line")
     return ways.select("id", "tags").join(out.select("id", kind.alias("kind"), F.array(F.when(F.col("closed"), ring).otherwise(line)).alias("parts")), "id")
 

@@ -29,7 +29,7 @@ def elements(spark, tmp_path_factory):
     members = [{"type": "way", "ref": r, "role": role} for r, role in ((1, "outer"), (2, "inner"), (3, ""), (4, "outer"), (99, "outer"))]
     doc = {"elements": [
         *map(node, PLACES), way(1, ring(1)), way(2, ring(11)), way(3, ring(21)), way(4, [31, 32], natural="water"), way(5, [31, 32, 33, 999], highway="service;primary"),
-        way(6, ring(41), building="yes", height="25 m", building__levels="3"), way(7, [51, 52], highway="primary"), way(8, ring(21), landuse="meadow"), way(9, [31], highway="primary"),
+        way(6, ring(41), building="yes", height="25 m", building__levels="3"), way(7, [51, 52], highway="primary"), way(8, ring(21)[::-1], landuse="meadow"), way(9, [31], highway="primary"),
         {"type": "relation", "id": 1, "members": members, "tags": {"type": "multipolygon", "natural": "water", "water": "lake"}},
         {"type": "relation", "id": 2, "members": members, "tags": {"type": "route", "natural": "water"}},
     ]}
@@ -46,6 +46,7 @@ def test_assembly(elements):
     lake = [plane.as_ring(r) for r in got[("relation", 1)].parts]
     assert plane.area(lake) == pytest.approx((16 - 1 + 4) * 1e-4) and len(lake) == 3
     assert ("relation", 2) not in got and ("way", 9) not in got
+    assert plane.area([plane.as_ring(got[("way", 8)].parts[0])]) == pytest.approx(4e-4)
     assert got[("way", 5)].kind == "line" and len(got[("way", 5)].parts[0]) == 6 and got[("way", 6)].kind == "polygon"
 
 
