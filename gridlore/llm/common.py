@@ -24,11 +24,18 @@ def shared_checkpoint_dir(spark: SparkSession) -> str:
     return where
 
 
-def cut(df: DataFrame) -> DataFrame:
+#: Rows a file of a narrow table.
+FILE_ROWS = 1 << 17
+
+
+def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
     """Write a table to the shared folder and read it back, so that lost executors cost no recomputation.
 
-    The folder is removed by `release`, or else when the driver's JVM ends."""
+    rows: about how many narrow rows it has, where that is known; it is then written in as many files as they need, not one
+    a shuffle partition. The folder is removed by `release`, or else when the driver's JVM ends."""
     spark = df.sparkSession
+    if rows is not None:
+        df = df.coalesce(rows // FILE_ROWS + 1)
     path = f"{shared_checkpoint_dir(spark).rstrip('/')}/gridlore-{uuid.uuid4().hex}"
     df.write.parquet(path)
     where, system = _files(spark, path)
@@ -115,3 +122,17 @@ def byte_chunks(batches, column: str, limit: int = 2 << 20):
         if start < batch.num_rows:
             part = batch.slice(start)
             yield part, column_bytes(part.column(column))
+    give_back()
+
+
+def give_back() -> None:
+    """Return memory that a task no longer uses to the system: a worker is kept for later tasks, next to the engine's own memory."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library

@@ -26,6 +26,8 @@ and the other columns of the result cannot be carried.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -65,8 +67,8 @@ def targets(sizes: DataFrame, weights: tuple = WEIGHTS, share: float = 1.5, most
     return x.withColumn("target", F.when(F.col("full"), F.col("cap")).otherwise(F.least("cap", level * F.col("weight")))).select("source", "source_size", "target")
 
 
-def split_quotas(tokens: DataFrame, levels: int, seed: int) -> DataFrame:
-    """shard, source, quota: the tree over tokens, a row a block with its source and token number."""
+def split_quotas(tokens: DataFrame, levels: int, seed: int, rows: int | None = None) -> DataFrame:
+    """shard, source, quota: the tree over tokens (about so many rows, if known), a row a block with its source and token number."""
     x = tokens.select("source", "token", F.lit(0).alias("node"))
     for level in range(levels):
         x = x.withColumn("draw", F.xxhash64(F.lit(seed + level), "source", "token"))
@@ -80,7 +82,7 @@ def split_quotas(tokens: DataFrame, levels: int, seed: int) -> DataFrame:
         x = x.withColumn("place", F.row_number().over(place)).join(slices, ["node", "slice"])
         x = x.select("source", "token", (F.col("node") * 2 + (F.col("place") > F.col("left")).cast("int")).alias("node"))
         if level % 4 == 3 and level + 1 < levels:
-            x = cut(x)
+            x = cut(x, rows)
     return x.groupBy(F.col("node").alias("shard"), "source").agg(F.count(F.lit(1)).alias("quota"))
 
 
@@ -94,6 +96,7 @@ def mix_sources(docs: DataFrame, weights: tuple = WEIGHTS, share: float = 1.5, m
     sized = sized.withColumn("cell", F.shiftrightunsigned("key", 64 - cell_bits))
     base = cut(sized.drop(*kept.values()))
     cells = cut(base.groupBy("source", "cell").agg(F.sum("size").alias("cell_size")))
+    few = cells.count() * math.ceil(most)
     goal = targets(cells.groupBy("source").agg(F.sum("cell_size").alias("source_size")), weights, share, most)
     passes = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("int")
     goal = goal.withColumn("passes", passes).withColumn("rest", F.col("target") - F.col("passes") * F.col("source_size"))
@@ -101,11 +104,11 @@ def mix_sources(docs: DataFrame, weights: tuple = WEIGHTS, share: float = 1.5, m
     planned = cells.join(goal.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
     planned = planned.withColumn("before", F.coalesce(F.sum("cell_size").over(in_order), F.lit(0)))
     planned = planned.withColumn("need", F.col("rest") - F.col("before")).withColumn("more", (F.col("need") > 0).cast("int"))
-    planned = cut(planned.withColumn("blocks", F.col("passes") + F.col("more")))
+    planned = cut(planned.withColumn("blocks", F.col("passes") + F.col("more")), few)
 
     block = planned.where(F.col("blocks") > 0).select("source", "cell", F.explode(F.sequence(F.lit(1), "blocks")).alias("copy"))
     permuted = block.withColumn("token", F.row_number().over(Window.partitionBy("source").orderBy(F.xxhash64(F.lit(seed + 100), "cell", "copy"), "cell", "copy")))
-    quotas = split_quotas(permuted, levels, seed + 200)
+    quotas = split_quotas(permuted, levels, seed + 200, few)
     # A block goes to the first shard whose quota, summed over the shards before it, reaches the block's number.
     last = F.sum("quota").over(Window.partitionBy("source").orderBy("shard").rowsBetween(Window.unboundedPreceding, 0))
     marks = quotas.select("source", last.alias("token"), "shard", F.lit(None).cast("long").alias("cell"), F.lit(None).cast("int").alias("copy"))
@@ -116,7 +119,7 @@ def mix_sources(docs: DataFrame, weights: tuple = WEIGHTS, share: float = 1.5, m
 
     plan = planned.join(shards, F.col("source").eqNullSafe(F.col("s")) & (F.col("cell") == F.col("c")), "left")
     plan = plan.select(F.col("source").alias("s"), F.col("cell").alias("c"), "cell_size", "source_size", "target", "passes", "need", "more", F.coalesce("shards", F.array().cast("array<int>")).alias("shards"))
-    plan = cut(plan)
+    plan = cut(plan, few)
     small = plan.count() <= small_rows
     if small:
         plan = F.broadcast(plan)
