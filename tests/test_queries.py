@@ -34,7 +34,7 @@ def test_entry(spark):
 
 
 def test_plans_stay_in_the_engine(spark):
-    for name in ("water_topk", "way_length", "bridge_semi", "overlap_anti_polygon", "boundary_edges"):
+    for name in ("water_topk", "way_length", "bridge_semi", "bridge_overlay", "gauss_smooth", "boundary_edges"):
         plan = QUERIES[name](spark, DIR)._jdf.queryExecution().executedPlan().toString()
         assert "Python" not in plan and "Arrow" not in plan and "CartesianProduct" not in plan
 
