@@ -14,7 +14,7 @@ own; blocks learn of each other's windows through a hash-partitioned index, in t
 
 Nothing is dropped, so the result does not depend on the number of blocks or buckets. A frequent
 window costs an entry a block, not one an occurrence: hot passages are aggregated before each
-shuffle. From TREE blocks on, the blocks fall into about as many groups as a group has blocks: a bucket
+shuffle. From TREE blocks (32 GB of text) on, the blocks fall into about as many groups as a group has blocks: a bucket
 then answers in two levels, first for each group and then for the groups, so that a passage that every
 block has costs a task the square root of the blocks. Different windows are taken for equal only if they have one anchor and 48 bits collide, or if
 the 64-bit keys made of both do (about n**2 / 2**65 pairs of n shared windows).
@@ -37,8 +37,9 @@ from gridlore.llm.hashing import BASE, Texts, grams, inside, isin_sorted, leftmo
 BLOCK_BYTES = 2 << 20
 LEAST_BLOCKS = 48
 
-#: Blocks from which buckets answer in two levels.
-TREE = 1024
+#: Blocks from which buckets answer in two levels. Each level is told of all shared windows again, so it is worth its disk
+#: only where the entries of a passage that all blocks have (some 140 windows an anchor) outgrow a task: here by 14 MB.
+TREE = 1 << 14
 
 ANCHORS = "bucket int, block int, hashes binary"
 SHARED = "bucket int, block int, hashes binary"
@@ -266,11 +267,12 @@ def grouped(lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return h[begin], order, begin, np.diff(np.append(begin, len(h)))
 
 
-def upper_windows(table: pa.Table) -> pa.Table:
-    """A group's different windows with their smallest (document, place)."""
-    sent = read_entries([r for r in table.to_pylist() if not r["here"]], True)
+def upper_windows(table: pa.Table, sources: bool = True) -> pa.Table:
+    """A group's different windows, with their smallest (document, place) if sources are wanted."""
+    sent = read_entries([r for r in table.to_pylist() if not r["here"]], sources)
     h, order, begin, count = grouped(sent.hashes)
-    doc, place = least_sources(order, begin, count, sent.doc, sent.place)
+    none = np.zeros(0, np.int64)
+    doc, place = least_sources(order, begin, count, sent.doc, sent.place) if sources else (none, none)
     some = slice(0, 1 if len(h) else 0)
     return pa.table({
         "bucket": table.column("bucket")[some].cast(pa.int32()), "part": table.column("part")[some].cast(pa.int32()),
@@ -279,14 +281,17 @@ def upper_windows(table: pa.Table) -> pa.Table:
 
 
 def answer_upper(table: pa.Table, earlier: bool) -> pa.Table:
-    """Of each group's windows those that another group has too (earlier: in a smaller document), with the smallest (document, place) of all."""
+    """Of each group's windows those that another group has too; earlier: in a smaller document, with the smallest (document, place) of all."""
+    if not earlier:
+        out = answer_anchors(table.rename_columns({"part": "block"})).rename_columns({"block": "part"})
+        return out.append_column("docs", pa.array([b""] * out.num_rows, pa.binary())).append_column("places", pa.array([b""] * out.num_rows, pa.binary()))
     own, docs, places = _joined(table, "hashes", np.uint64), _joined(table, "docs", np.int64), _joined(table, "places", np.int64)
     doc, place = np.concatenate([np.zeros(0, np.int64), *docs]), np.concatenate([np.zeros(0, np.int64), *places])
     _, order, begin, count = grouped(own)
     least, at = least_sources(order, begin, count, doc, place)
     of = np.empty(len(order), np.int64)
     of[order] = np.repeat(np.arange(len(begin)), count)
-    hit = (least[of] < doc) if earlier else count[of] > 1
+    hit = least[of] < doc
     to, out = 0, {k: [] for k in ("hashes", "docs", "places")}
     for x in own:
         mine = slice(to, to + len(x))
@@ -394,6 +399,6 @@ def repeated_windows(docs: DataFrame, *, window: int, anchor: int, words: bool,
     if groups == 1:
         hits = entries.groupBy("bucket").applyInArrow(lambda t: answer_windows(t, earlier), HITS)
     else:
-        upper = grouped(entries).applyInArrow(upper_windows, UPPER).groupBy("bucket").applyInArrow(lambda t: answer_upper(t, earlier), UPPER)
+        upper = grouped(entries).applyInArrow(lambda t: upper_windows(t, earlier), UPPER).groupBy("bucket").applyInArrow(lambda t: answer_upper(t, earlier), UPPER)
         hits = grouped(entries).cogroup(upper.groupBy("bucket", "part")).applyInArrow(lambda t, u: answer_windows(t, earlier, u), HITS)
     return dealt.groupBy("block").cogroup(hits.groupBy("block")).applyInArrow(third, schema)

@@ -7,6 +7,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from gridlore.llm import blocks
 from gridlore.llm.blocks import merged_order, open_block
 from gridlore.llm.hashing import Texts, leftmost_minimum
 from gridlore.llm.substring_dedup import parse, substring_dedup
@@ -225,3 +226,18 @@ def test_leftmost_minimum():
     h = np.random.default_rng(1).integers(0, 5, 200).astype(np.uint64) << np.uint64(32)
     for size in (1, 2, 7, 64):
         assert leftmost_minimum(h, size).tolist() == [int(i + np.argmin(h[i : i + size])) for i in range(len(h) - size + 1)]
+
+
+def test_levels_of_the_index_carry_no_more_than_they_need():
+    """Two levels repeat all shared windows: not for 6 GB of text, and without sources where none are asked for."""
+    assert 6 * 10**9 // blocks.BLOCK_BYTES < blocks.TREE
+    anchor, low = np.array([7], np.uint64).tobytes(), np.arange(12, dtype=np.uint8)
+    entry = {"bucket": 0, "here": False, "starts": np.array([0], np.uint32).tobytes(), "sizes": np.array([2], np.uint32).tobytes(), "docs": np.array([3], np.int64).tobytes(), "places": np.array([0], np.uint32).tobytes(), "anchors": anchor, "hashes": low.tobytes()}
+    table = lambda part: pa.Table.from_pylist([{**entry, "block": part, "part": part}])
+    upper = pa.concat_tables([blocks.upper_windows(table(part), False) for part in (0, 1)])
+    assert [len(x) for c in ("docs", "places") for x in upper.column(c).to_pylist()] == [0] * 4
+    assert [len(x) for x in upper.column("hashes").to_pylist()] == [16, 16]
+    found = blocks.answer_upper(upper, False)
+    assert found.column("part").to_pylist() == [0, 1] and found.column("hashes").to_pylist() == upper.column("hashes").to_pylist()
+    hits = blocks.hits_of(blocks.answer_windows(table(0), False, found.slice(0, 1)))
+    assert [x.tolist() for x in hits[:2]] == [[0], [2]]
