@@ -282,3 +282,12 @@ def test_a_cells_covers_are_united_once(spark):
     assert {(r.id, r.share) for r in shares.collect()} == {(i, 0.1) for i in range(300)}
     assert [r.share for r in shapes.covered_shares(square(spark.range(1)), covers.unionByName(tilted), 4.0).collect()] == [pytest.approx(0.14)]
     assert [r.share for r in shapes.covered_shares(tilted, square(spark.range(1)), 4.0).collect()] == [pytest.approx(1)]
+
+
+def test_a_loser_is_dominated_by_one_winner(spark):
+    """A search ends at the first winner that is enough, and gives no row for each pair."""
+    a = spark.createDataFrame([(k, x, 0, x + 10, 10) for k, x in enumerate((0, 20, 40))], "a_id long, ax0 long, ay0 long, ax1 long, ay1 long")
+    b = spark.createDataFrame([(0, 0, 2, 10), (2, 0, 4, 10), (20, 0, 23, 10), (40, 0, 44, 10)] * 50, "bx0 long, by0 long, bx1 long, by1 long")
+    left = spatial.dominated(a, b)
+    assert "LeftSemi" in left._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(r.a_id for r in left.collect()) == [0, 1]
