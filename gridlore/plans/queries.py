@@ -230,7 +230,9 @@ def bridge_overlay(spark, d):
 
 @query(CROSS_SQL + LENGTH_SQL + " SELECT (SELECT count(*) FROM orders) AS roads, (SELECT count(*) FROM orders WHERE o_orderkey % 10 = 0) AS tagged, (SELECT count(*) FROM l) AS crossing, (SELECT round(sum(water_length), 3) FROM l) AS water_length")
 def bridge_stats(spark, d):
-    over = spatial.covered_length(_crossings(spark, d)).agg(F.count(F.lit(1)).alias("crossing"), F.round(F.sum("water_length"), 3).alias("water_length"))
+    """Numbers of roads, and the length of those that cross water, over the waters united to boxes that do not overlap."""
+    waters = spatial.disjoint(_boxes_of(_water(spark, d)))
+    over = spatial.covered_length(spatial.crossings(fx.segments(spark, d), waters)).agg(F.count(F.lit(1)).alias("crossing"), F.round(F.sum("water_length"), 3).alias("water_length"))
     return _roads(spark, d).agg(F.count(F.lit(1)).alias("roads"), F.count_if("bridge").alias("tagged")).crossJoin(F.broadcast(over))
 
 

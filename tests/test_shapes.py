@@ -291,3 +291,13 @@ def test_a_loser_is_dominated_by_one_winner(spark):
     left = spatial.dominated(a, b)
     assert "LeftSemi" in left._jdf.queryExecution().optimizedPlan().toString()
     assert sorted(r.a_id for r in left.collect()) == [0, 1]
+
+
+def test_waters_are_united_before_roads_cross_them(spark):
+    segments = spark.createDataFrame([(1, 1, 0, 0, 30, 0), (2, 1, 3, 9, 9, 9), (3, 1, 0, 20, 9, 20)], "way long, pos long, x1 long, y1 long, x2 long, y2 long")
+    waters = spark.createDataFrame([(k % 7, -(k % 3) - 1, k % 7 + 5, k % 4) for k in range(300)] + [(9, 9, 12, 12), (4, 4, 4, 9), (-900, -900, -1, -1)], "bx0 long, by0 long, bx1 long, by1 long")
+    less = spatial.disjoint(waters)
+    assert less.count() < 30
+    want = {r.way: r.water_length for r in spatial.covered_length(spatial.crossings(segments, waters)).collect()}
+    got = {r.way: r.water_length for r in spatial.covered_length(spatial.crossings(segments, less)).collect()}
+    assert want == pytest.approx(got) and set(got) == {1, 2}
