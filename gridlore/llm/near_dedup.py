@@ -1,11 +1,11 @@
 """Near-duplicate classes by MinHash: improved consistent weighted sampling over TF-IDF shingles.
 
-1. A text's shingles are its runs of five words. A shingle weighs its count in the text times
-   1 + ln(1 / max(df / N, 1 / common)): only shingles in more than one text of `common` weigh less, so
-   the table of exact document counts that is shipped to the tasks has a fixed bound (twice `common`
-   times the mean number of shingles a text). Misra-Gries summaries over all texts find its candidates, a second scan counts them.
-2. Equal texts are one (a digest of the text is the key). Each is given BANDS x ROWS consistent weighted
-   samples (Ioffe's scheme); equal bands put texts in a bucket.
+1. A text's shingles are its runs of five words. Equal texts are one (a digest of the text is the key). A shingle weighs
+   its count in the text times its inverse document frequency, 1 + ln(N / df), both counted over the different texts, so
+   that copies do not cheapen what they copy. The counts are exact for every shingle: the texts lie in blocks, each
+   block sends its different shingles to the buckets of an index, dealt by hash, and a bucket answers each block with the counts of
+   those that more than one text has. No table of shingles is held whole anywhere.
+2. Each text is given BANDS x ROWS consistent weighted samples (Ioffe's scheme); equal bands put texts in a bucket.
 3. In each bucket every text is linked to the smallest key and to a random one that differs by bucket,
    so links grow with the members, not with their pairs. Links are verified by the weighted Jaccard
    similarity of whole texts.
@@ -35,14 +35,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridlore.llm.common import byte_chunks, cut, fresh, release, spread_join
+from gridlore.llm.blocks import LEAST_BLOCKS, _bucket, _joined, _parts
+from gridlore.llm.common import byte_chunks, column_bytes, cut, fresh, give_back, release, spread_join
 from gridlore.llm.hashing import BASE, Texts, grams, isin_sorted, mix
 
 WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 16, 4
-COMMON = 8
-#: Counters of a summary.
-COUNTERS = 1 << 15
+#: Shingles in less than one text of so many weigh the same; None: every shingle has the weight of its own count.
+COMMON = None
+#: Keys of texts that a task remembers, so as to send equal texts once.
+SEEN = 1 << 18
+#: Octets of text in a block.
+BLOCK_BYTES = 4 << 20
 #: Octets of text that are hashed at once.
 AT_ONCE = 1 << 19
 #: Bins of a text's sketch.
@@ -58,7 +62,7 @@ _LN_C = -np.log((np.arange(1 << _GAMMA_C) + 0.5) / (1 << _GAMMA_C)).astype(np.fl
 
 
 def shingles(texts: list[bytes], size: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct shingle hashes by text, in order; their counts; and each text's first one (with the total last)."""
+    """Distinct shingle hashes (of 56 bits, the upper ones) by text, in order; their counts; and each text's first one (with the total last)."""
     _, _, h, first = Texts(texts).words()
     n = np.diff(first)
     doc = np.repeat(np.arange(len(texts)), np.where(n >= size, n - size + 1, (n > 0).astype(np.int64)))
@@ -72,6 +76,7 @@ def shingles(texts: list[bytes], size: int = WORDS) -> tuple[np.ndarray, np.ndar
     for i in np.flatnonzero(~long).tolist():
         x = h[first[doc[i]] : first[doc[i] + 1]]
         out[i] = mix(grams(x, len(x)) + np.uint64(len(x)))[0]
+    out &= np.uint64((1 << 64) - 256)
     order = np.lexsort((out, doc))
     doc, out = doc[order], out[order]
     new = np.ones(len(out), bool)
@@ -81,52 +86,125 @@ def shingles(texts: list[bytes], size: int = WORDS) -> tuple[np.ndarray, np.ndar
     return out[start], tf, np.searchsorted(doc[start], np.arange(len(texts) + 1))
 
 
-def _summary(h: np.ndarray, n: np.ndarray, counters: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """Merge counts and reduce them to `counters` (Misra-Gries): what was taken off each count at most."""
-    u, back = np.unique(h, return_inverse=True)
-    n = np.bincount(back, n, minlength=len(u)).astype(np.int64)
-    off = int(np.partition(n, len(n) - counters - 1)[len(n) - counters - 1]) if len(n) > counters else 0
-    return u[n > off], n[n > off] - off, off
+class Weights(tuple):
+    """Sorted hashes of the shingles that more than one text has, and their weights; `usual` is that of all others."""
 
+    usual = 1.0
 
-def common_shingles(docs: DataFrame, common: int = COMMON, counters: int = COUNTERS) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes of the shingles in more than one text of `common`, and their weights; exact, over all texts."""
-    docs = docs.select("text")
 
-    def first(batches):
-        h, n, off, rows = np.zeros(0, np.uint64), np.zeros(0, np.int64), 0, 0
-        for _, texts in byte_chunks(batches, "text", AT_ONCE):
-            x, _, begin = shingles(texts)
-            rows += int((np.diff(begin) > 0).sum())
-            h, n, more = _summary(np.concatenate((h, x)), np.concatenate((n, np.ones(len(x), np.int64))), counters)
-            off += more
-        yield pa.record_batch({"h": pa.array([None, *h.view(np.int64).tolist()], pa.int64()), "n": pa.array([rows, *n.tolist()], pa.int64()), "off": pa.array([off] + [0] * len(h), pa.int64())})
-
-    summed = docs.mapInArrow(first, "h long, n long, off long").groupBy("h").agg(F.sum("n").alias("n"), F.sum("off").alias("off"))
-    summed = cut(summed)
-    total = summed.where("h IS NULL").first()
-    rows, off = (total["n"], total["off"]) if total else (0, 0)
-    likely = summed.where(F.col("h").isNotNull() & (F.col("n") + off > rows / common)).select("h").toArrow().column("h").to_numpy()
-    likely = np.sort(likely.astype(np.int64).view(np.uint64))
-    if not len(likely):
-        return np.zeros(0, np.uint64), np.zeros(0)
-
-    def second(batches):
-        n = np.zeros(len(likely), np.int64)
-        for _, texts in byte_chunks(batches, "text", AT_ONCE):
-            x, _, _ = shingles(texts)
-            x = x[isin_sorted(x, likely)]
-            n += np.bincount(np.searchsorted(likely, x), minlength=len(likely))
-        yield pa.record_batch({"h": pa.array(likely.view(np.int64)), "n": pa.array(n)})
-
-    exact = docs.mapInArrow(second, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") > rows / common).orderBy("n").toArrow()
-    h = exact.column("h").to_numpy().astype(np.int64).view(np.uint64)
+def inverse_frequency(h: np.ndarray, n: np.ndarray, texts: int, common: int | None = COMMON) -> Weights:
+    """The weights of shingles h, of which each is in n of the texts."""
+    most = min(max(1, texts), common or math.inf)
     order = np.argsort(h)
-    return h[order], 1 + np.log(rows / exact.column("n").to_numpy()[order])
+    out = Weights((h[order], 1 + np.log(np.minimum(max(1, texts) / n[order], most))))
+    out.usual = 1 + math.log(most)
+    return out
+
+
+def portions(texts: list[bytes]):
+    """Runs of texts of about AT_ONCE octets."""
+    a, size = 0, 0
+    for i, x in enumerate(texts):
+        if i > a and size + len(x) > AT_ONCE:
+            yield texts[a:i]
+            a, size = i, 0
+        size += len(x)
+    if a < len(texts):
+        yield texts[a:]
+
+
+def _different(table: pa.Table) -> dict[bytes, bytes]:
+    """A block's texts by key."""
+    return dict(zip(table.column("key").to_pylist(), (x for c in table.column("text").chunks for x in column_bytes(c)), strict=True))
+
+
+def pack_hashes(h: np.ndarray) -> bytes:
+    """Sorted hashes of 56 bits as differences, all lowest bytes first: the upper bytes are mostly 0, which a shuffle takes out."""
+    return np.ascontiguousarray(np.diff(h >> np.uint64(8), prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8)[:, :7].T).tobytes()
+
+
+def unpack_hashes(x: bytes) -> np.ndarray:
+    d = np.zeros((len(x) // 7, 8), np.uint8)
+    d[:, :7] = np.frombuffer(x, np.uint8).reshape(7, -1).T
+    return np.cumsum(d.view(np.uint64)[:, 0], dtype=np.uint64) << np.uint64(8)
+
+
+def send_counts(table: pa.Table, buckets: int) -> pa.Table:
+    """A block's different shingles by bucket, and in how many of its texts each is."""
+    h, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *(shingles(x)[0] for x in portions(list(_different(table).values())))]), return_counts=True)
+    parts = _parts(_bucket(h, buckets))
+    n = n.astype(np.uint32)
+    give_back()
+    return pa.table({
+        "bucket": pa.array([x for x, _, _ in parts], pa.int32()), "block": pa.array([table.column("block")[0].as_py()] * len(parts), pa.int32()),
+        "hashes": pa.array([pack_hashes(h[i:j]) for _, i, j in parts], pa.binary()), "texts": pa.array([n[i:j].tobytes() for _, i, j in parts], pa.binary()),
+    })
+
+
+def answer_counts(table: pa.Table) -> pa.Table:
+    """Of each block's shingles those that more than one text of all blocks has, and in how many texts each is."""
+    own = [unpack_hashes(x) for x in table.column("hashes").to_pylist()]
+    _, back = np.unique(np.concatenate(own), return_inverse=True)
+    n = np.bincount(back, np.concatenate(_joined(table, "texts", np.uint32))).astype(np.uint32)[back]
+    hashes, counts, at = [], [], 0
+    for x in own:
+        mine = n[at : at + len(x)]
+        at += len(x)
+        hashes.append(pack_hashes(x[mine > 1]))
+        counts.append(mine[mine > 1].tobytes())
+    give_back()
+    return pa.table({"block": table.column("block").cast(pa.int32()), "hashes": pa.array(hashes, pa.binary()), "texts": pa.array(counts, pa.binary())})
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, text (null: empty) and key, its digest."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.substring(F.unhex(F.sha2(text, 256)), 1, 16).alias("key"))
+
+
+def counted(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, DataFrame, int]:
+    """Of keyed rows the different texts (block, key, text; equal ones lie in one block, at most one a task of the scan), the counts of each block's shared shingles (block, hashes,
+    texts), and the number of different texts that have a shingle."""
+    word = F.col("text").rlike(r"[^\x20\x09-\x0D]")
+    sizes = docs.select("key", F.octet_length("text").cast("long").alias("size"), word.alias("word")).groupBy("key").agg(F.first("size").alias("size"), F.first("word").alias("word"))
+    size, texts = sizes.agg(F.sum("size"), F.count_if("word")).first()
+
+    def once(batches):
+        seen = set()
+        for batch in batches:
+            new = []
+            for x in batch.column("key").to_pylist():
+                new.append(x not in seen)
+                seen.add(x)
+            yield batch.filter(pa.array(new, pa.bool_()))
+            if len(seen) > SEEN:
+                seen.clear()
+
+    blocks = max(LEAST_BLOCKS, -(-(size or 0) // block_bytes))
+    buckets = max(32, blocks // 4)
+    dealt = docs.select(F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("int").alias("block"), "key", "text").mapInArrow(once, "block int, key binary, text string")
+    sent = dealt.groupBy("block").applyInArrow(lambda t: send_counts(t, buckets), "bucket int, block int, hashes binary, texts binary")
+    return dealt, sent.groupBy("bucket").applyInArrow(answer_counts, "block int, hashes binary, texts binary"), texts
+
+
+def weights_of(answers: pa.Table, texts: int, common: int | None = COMMON) -> Weights:
+    h = np.concatenate([np.zeros(0, np.uint64), *map(unpack_hashes, answers.column("hashes").to_pylist())])
+    return inverse_frequency(h, np.concatenate([np.zeros(0, np.uint32), *_joined(answers, "texts", np.uint32)]), texts, common)
+
+
+def common_shingles(docs: DataFrame, common: int | None = COMMON) -> Weights:
+    """The weights of all shingles that more than one text has, on the driver: for tables that fit in it. `near_duplicates`
+    leaves them in their blocks."""
+    _, answers, texts = counted(keyed(docs.select(F.lit(None).alias("doc_id"), "text")))
+    found = weights_of(answers.toArrow(), texts, common)
+    h, at = np.unique(found[0], return_index=True)
+    out = Weights((h, found[1][at]))
+    out.usual = found.usual
+    return out
 
 
-def weights(h: np.ndarray, tf: np.ndarray, heavy: tuple[np.ndarray, np.ndarray], common: int = COMMON) -> np.ndarray:
-    w = np.full(len(h), 1 + math.log(common))
+def weights(h: np.ndarray, tf: np.ndarray, heavy: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    w = np.full(len(h), getattr(heavy, "usual", Weights.usual))
     if len(heavy[0]):
         at = np.searchsorted(heavy[0], h)
         at[at == len(heavy[0])] = 0
@@ -172,54 +250,74 @@ def samples(h: np.ndarray, w: np.ndarray, first: np.ndarray, n: int) -> np.ndarr
 
 
 def digest(text: bytes) -> bytes:
-    return hashlib.blake2b(text, digest_size=16).digest()
-
+    return hashlib.sha256(text).digest()[:16]
+
+
+def band_hashes(h: np.ndarray, w: np.ndarray, first: np.ndarray, bands: int, rows: int) -> list[list[int]]:
+    """The bands' hashes of each weighted set; none of an empty one."""
+    some = np.flatnonzero(np.diff(first) > 0)
+    out: list[list[int]] = [[] for _ in first[1:]]
+    if len(some):
+        s = samples(h, w, first[some], bands * rows).reshape(len(some), bands, rows)
+        x = np.zeros((len(some), bands), np.uint64) + np.arange(1, bands + 1, dtype=np.uint64)
+        for k in range(rows):
+            x = mix(x * np.uint64(BASE) + s[:, :, k])
+        for i, row in zip(some.tolist(), x.view(np.int64).tolist(), strict=True):
+            out[i] = row
+    return out
 
-def signatures(docs: DataFrame, heavy: tuple[np.ndarray, np.ndarray], bands: int = BANDS, rows: int = ROWS, common: int = COMMON) -> DataFrame:
-    """doc_id, pick (the doc_id, of a null one a hash of the text), key (digest of the text) and the bands' hashes."""
 
-    def work(batches):
-        for part, texts in byte_chunks(batches, "text", AT_ONCE):
-            different = list(dict.fromkeys(texts))
-            h, tf, first = shingles(different)
-            some = np.flatnonzero(np.diff(first) > 0)
-            got = {x: [] for x in different}
-            if len(some):
-                s = samples(h, weights(h, tf, heavy, common), first[some], bands * rows).reshape(len(some), bands, rows)
-                x = np.zeros((len(some), bands), np.uint64) + np.arange(1, bands + 1, dtype=np.uint64)
-                for k in range(rows):
-                    x = mix(x * np.uint64(BASE) + s[:, :, k])
-                for i, row in zip(some.tolist(), x.view(np.int64).tolist(), strict=True):
-                    got[different[i]] = row
-            key = {x: digest(x) for x in different}
-            yield pa.record_batch({"doc_id": part.column("doc_id").cast(pa.int64()), "pick": part.column("pick"), "key": pa.array([key[x] for x in texts], pa.binary()), "bands": pa.array([got[x] for x in texts], pa.list_(pa.int64()))})
-
-    return docs.select("doc_id", "text", "pick").mapInArrow(work, "doc_id long, pick long, key binary, bands array<long>")
-
-
-def features(docs: DataFrame, heavy: tuple[np.ndarray, np.ndarray], common: int = COMMON) -> DataFrame:
-    """key, and the whole weighted set of each text: sorted 32-bit shingle hashes, with the weights that are not the usual one."""
+def packed_sets(h: np.ndarray, w: np.ndarray, first: np.ndarray, usual: float) -> tuple[list[bytes], list[bytes]]:
+    """Whole weighted sets: sorted 32-bit shingle hashes, and places and weights of those of another weight than 1, the usual one."""
+    w = (w / usual).astype(np.float32)
+    h = (h >> np.uint64(32)).astype(np.uint32)
+    odd = np.abs(w - np.float32(1)) > 1e-4
+    sets, odds = [], []
+    for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+        sets.append(h[a:b].tobytes())
+        at = np.flatnonzero(odd[a:b])
+        odds.append(at.astype(np.uint32).tobytes() + w[a:b][at].tobytes())
+    return sets, odds
+
+
+def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, common: int | None = COMMON) -> DataFrame:
+    """key, bands (their hashes) and the whole weighted set (see `packed_sets`) of each different text of keyed rows."""
+    dealt, answers, texts = counted(docs)
+
+    def work(table, answered):
+        out: dict[str, list] = {"key": [], "bands": [], "shingles": [], "odd": []}
+        if table.num_rows:
+            heavy = weights_of(answered, texts, common)
+            different = _different(table)
+            out["key"] = list(different)
+            for part in portions(list(different.values())):
+                h, tf, first = shingles(part)
+                w = weights(h, tf, heavy)
+                out["bands"] += band_hashes(h, w, first, bands, rows)
+                sets, odds = packed_sets(h, w, first, heavy.usual)
+                out["shingles"] += sets
+                out["odd"] += odds
+            give_back()
+        return pa.table({k: pa.array(v, pa.list_(pa.int64()) if k == "bands" else pa.binary()) for k, v in out.items()})
+
+    return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(work, "key binary, bands array<long>, shingles binary, odd binary")
+
+
+def features(docs: DataFrame, heavy: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """key and the whole weighted set of each text, by weights that the driver holds."""
 
     def work(batches):
-        usual = 1 + math.log(common)
-        for part, texts in byte_chunks(batches, "text", AT_ONCE):
+        for _, texts in byte_chunks(batches, "text", AT_ONCE):
             h, tf, first = shingles(texts)
-            w = weights(h, tf, heavy, common).astype(np.float32)
-            h = (h >> np.uint64(32)).astype(np.uint32)
-            odd = np.abs(w - np.float32(usual)) > 1e-4
-            sets, odds = [], []
-            for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
-                sets.append(h[a:b].tobytes())
-                at = np.flatnonzero(odd[a:b])
-                odds.append(at.astype(np.uint32).tobytes() + w[a:b][at].tobytes())
+            sets, odds = packed_sets(h, weights(h, tf, heavy), first, getattr(heavy, "usual", Weights.usual))
             yield pa.record_batch({"key": pa.array([digest(x) for x in texts], pa.binary()), "shingles": pa.array(sets, pa.binary()), "odd": pa.array(odds, pa.binary())})
 
     return docs.select("text").mapInArrow(work, "key binary, shingles binary, odd binary")
 
 
-def weighted_set(shingles_: bytes, odd: bytes, common: int) -> tuple[np.ndarray, np.ndarray]:
+def weighted_set(shingles_: bytes, odd: bytes) -> tuple[np.ndarray, np.ndarray]:
     h = np.frombuffer(shingles_, np.uint32)
-    w = np.full(len(h), 1 + math.log(common), np.float32)
+    w = np.ones(len(h), np.float32)
     n = len(odd) // 8
     w[np.frombuffer(odd, np.uint32, n)] = np.frombuffer(odd, np.float32, n, 4 * n)
     return h, w
@@ -235,7 +333,7 @@ def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.n
     return both / whole if whole else 0.0
 
 
-def verified(links: DataFrame, sets: DataFrame, similarity: float, common: int) -> DataFrame:
+def verified(links: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The links (a, b) whose texts' weighted Jaccard similarity reaches the threshold.
 
     b's set is joined first: the smaller key of many links is then joined by parts, so its set is not copied a link."""
@@ -243,7 +341,7 @@ def verified(links: DataFrame, sets: DataFrame, similarity: float, common: int)
     def work(batches):
         for batch in (x.slice(k, LINKS) for x in batches for k in range(0, x.num_rows, LINKS)):
             cols = [batch.column(c).to_pylist() for c in ("a_shingles", "a_odd", "b_shingles", "b_odd")]
-            ok = [weighted_jaccard(weighted_set(p, q, common), weighted_set(r, s, common)) >= similarity - 1e-9 for p, q, r, s in zip(*cols, strict=True)]
+            ok = [weighted_jaccard(weighted_set(p, q), weighted_set(r, s)) >= similarity - 1e-9 for p, q, r, s in zip(*cols, strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     side = lambda c: sets.select(F.col("key").alias(c), F.col("shingles").alias(f"{c}_shingles"), F.col("odd").alias(f"{c}_odd"))
@@ -282,7 +380,7 @@ def joined(found: DataFrame, links: DataFrame) -> DataFrame:
     return out
 
 
-def heads(sets: DataFrame, similarity: float, common: int) -> DataFrame:
+def heads(sets: DataFrame, similarity: float) -> DataFrame:
     """The shingles h that can be the first common one (by number of texts, then hash) of a text and one as similar
     as the threshold: key, component, h, the text's weight (size), the largest weight of such another text (most), the text's
     weight by SKETCH bins of shingles (sketch; two texts share no more than the lesser of both in each bin) and the first BEFORE of
@@ -298,7 +396,7 @@ def heads(sets: DataFrame, similarity: float, common: int) -> DataFrame:
         factor = (1 + similarity) / similarity
         for batch in batches:
             for r in batch.to_pylist():
-                h, w = weighted_set(r["shingles"], r["odd"], common)
+                h, w = weighted_set(r["shingles"], r["odd"])
                 w = w.astype(np.float64)
                 n = np.ones(len(h), np.int64)
                 seen = sorted((x["h"], x["n"]) for x in r["counts"])
@@ -320,12 +418,13 @@ def heads(sets: DataFrame, similarity: float, common: int) -> DataFrame:
     return sets.join(counts, "key").mapInArrow(head, "before array<long>, sketch array<float>, key binary, component binary, h long, size double, most double")
 
 
-def possible(sets: DataFrame, similarity: float, common: int) -> DataFrame:
+def possible(sets: DataFrame, similarity: float, common: int | None = COMMON) -> DataFrame:
     """All pairs (a, b) of texts of different components that can reach the threshold; sets has their components.
 
     Texts of a shingle's largest component are not paired with each other, and of a pair the lighter
-    text must leave room for one of its own weight at least, which a passage that strangers share does not."""
-    rows = cut(heads(sets, similarity, common))
+    text must leave room for one of its own weight at least, which a passage that strangers share does not. The sets hold
+    their weights, so `common` changes nothing."""
+    rows = cut(heads(sets, similarity))
     members = rows.groupBy("h", "component").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("most") >= F.col("size")).alias("lighter"))
     mixed = members.groupBy("h").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count(F.lit(1)).alias("k"), F.max("lighter").alias("lighter")).where("k > 1 AND lighter").select("h", "main")
     rows = rows.join(mixed, "h").withColumn("in_main", F.col("component") == F.col("main")).drop("main")
@@ -340,27 +439,23 @@ def possible(sets: DataFrame, similarity: float, common: int) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, common: int = COMMON) -> DataFrame:
+def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, common: int | None = COMMON) -> DataFrame:
     """doc_id, class_id (the smallest doc_id of its class), class_texts (different texts in the class) and class_size (rows)."""
-    text = F.col("text").cast("string")
-    pick = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(text))
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), pick.alias("pick"))
-    heavy = common_shingles(docs, common)
-    signed = cut(signatures(docs, heavy, bands, rows, common))
-    texts = signed.groupBy("key").agg(F.min("pick").alias("pick"), F.first("bands").alias("bands"))
-    members = cut(texts.select("key", "pick", F.explode("bands").alias("band")))
+    docs = keyed(docs)
+    signed = cut(signatures(docs, bands, rows, common))
+    members = cut(signed.select("key", F.explode("bands").alias("band")))
     random = F.xxhash64("band", "key")
     crowded = members.groupBy("band").agg(F.min("key").alias("least"), F.min_by("key", random).alias("random"), F.count(F.lit(1)).alias("n")).where("n > 1")
     held = cut(spread_join(members, crowded.drop("n"), "band"))
     release(members)
-    wanted = held.select("pick").distinct().hint("merge")
-    sets = cut(features(docs.join(wanted, "pick"), heavy, common).dropDuplicates(["key"]))
+    sets = cut(signed.select("key", "shingles", "odd").join(held.select("key").distinct(), "key", "left_semi"))
+    release(signed)
 
     def pairs(x: DataFrame, *other: str) -> DataFrame:
         link = F.explode(F.array(*(F.struct(F.least("key", o).alias("a"), F.greatest("key", o).alias("b")) for o in other)))
         return x.select(link.alias("l")).select("l.a", "l.b").where("a <> b").distinct()
 
-    links = cut(verified(pairs(held, "least", "random"), sets, similarity, common))
+    links = cut(verified(pairs(held, "least", "random"), sets, similarity))
     found = components(links)
     release(links)
     bands_of = held.select("band", "key")
@@ -369,12 +464,12 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
     mixed = labelled.groupBy("band").agg((F.min("component") != F.max("component")).alias("mixed"), F.count(F.lit(1)).alias("n")).where("mixed AND n > 2").select("band")
     open_ = cut(spread_join(labelled, mixed, "band").select("key", "component").distinct().join(sets, "key"))
     release(held, labelled)
-    more = cut(verified(possible(open_, similarity, common), open_, similarity, common))
+    more = cut(verified(possible(open_, similarity), open_, similarity))
     if more.limit(1).count():
         before, found = found, joined(found, more)
         release(before)
     release(open_, more, sets)
-    known = signed.select("doc_id", "key").join(found.select("key", "component"), "key", "left").withColumn("component", component)
+    known = docs.select("doc_id", "key").join(found.select("key", "component"), "key", "left").withColumn("component", component)
     classes = known.groupBy("component").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"), F.count_distinct("key").alias("class_texts"))
     return spread_join(known, classes, "component").select("doc_id", "class_id", "class_size", "class_texts")
 

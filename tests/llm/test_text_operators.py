@@ -170,6 +170,52 @@ def test_common_shingles_are_counted_exactly(spark):
     assert np.allclose(w[np.searchsorted(h, np.sort(want))], 1 + math.log(3))
 
 
+def test_every_shingle_weighs_by_its_own_count(spark):
+    """Counted over different texts, for rare shingles too; and a pair that only those weights tell from a near duplicate."""
+    r = random.Random(2)
+    rows = [(i, words(r, 40), "en", "s") for i in range(200)]
+    line = words(r, 24)
+    rows += [(300 + i, f"{line} {words(r, 30)}", "en", "s") for i in range(12)]
+    rows += [(400, rows[0][1], "en", "s"), (401, rows[0][1], "en", "s")]
+    rows += [(500, line, "en", "s"), (501, " ".join(line.split()[:-1] + ["other"]), "en", "s"), (502, line + " and four words more", "en", "s")]
+    different = sorted({t for _, t, *_ in rows})
+    bags = [set(bag(t)) for t in different]
+    df = Counter(x for b in bags for x in b)
+    h, w = heavy = near_dedup.common_shingles(frame(spark, rows))
+    want = {x: 1 + math.log(len(different) / n) for x, n in df.items()}
+    assert len(h) == sum(n > 1 for n in df.values()) and math.isclose(heavy.usual, 1 + math.log(len(different)))
+    x, tf, first = near_dedup.shingles([t.encode() for t in different])
+    got = near_dedup.weights(x, tf, heavy)
+    for i, t in enumerate(different):
+        assert math.isclose(got[first[i] : first[i + 1]].sum(), sum(n * want[x] for x, n in bag(t).items()), rel_tol=1e-9)
+
+    def weighted(t, u):
+        a, b = bag(t), bag(u)
+        return sum(n * want[x] for x, n in (a & b).items()) / sum(n * want[x] for x, n in (a | b).items())
+
+    text = {d: t for d, t, *_ in rows}
+    assert jaccard(text[500], text[502]) >= 0.8 > weighted(text[500], text[502])
+    classes = {x.doc_id: x.class_id for x in near_dedup.near_duplicates(frame(spark, rows)).collect()}
+    assert classes[400] == classes[401] == classes[0] == 0
+    for d in (500, 501, 502):
+        assert classes[d] == min([d, *(e for e in (500, 501, 502) if e < d and weighted(text[d], text[e]) >= 0.8)])
+
+
+def test_counts_do_not_depend_on_partitions_or_blocks(spark):
+    r = random.Random(3)
+    rows = [(i, words(r, 12) + " this line is in many texts", "en", "s") for i in range(300)]
+    docs = near_dedup.keyed(frame(spark, rows))
+    seen = set()
+    for parts, size in ((1, 1 << 22), (60, 1 << 22), (7, 100)):
+        dealt, answers, texts = near_dedup.counted(docs.repartition(parts), size)
+        blocks = max(near_dedup.LEAST_BLOCKS, -(-sum(len(t) for _, t, *_ in rows) // size))
+        t = answers.toArrow()
+        assert t.num_rows <= blocks * max(32, blocks // 4) and texts == 300 == dealt.count()
+        x = near_dedup.weights_of(t, texts)
+        seen.add(tuple(sorted({(a, round(b, 9)) for a, b in zip(x[0].tolist(), x[1].tolist())})))
+    assert len(seen) == 1
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_joined_components_equal_those_of_all_links(spark, seed):
     r = random.Random(seed)
