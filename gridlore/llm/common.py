@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -58,6 +59,13 @@ def release(*tables: DataFrame) -> None:
             system.delete(where, True)
 
 
+def sweep(spark: SparkSession) -> None:
+    """Let the engine remove the shuffle files that no plan will read again. It does so when the driver's JVM collects its
+    garbage, which a driver that holds little may not do for a whole stage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

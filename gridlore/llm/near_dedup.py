@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridlore.llm.blocks import LEAST_BLOCKS, _bucket, _joined, _parts
-from gridlore.llm.common import byte_chunks, column_bytes, cut, fresh, give_back, release, spread_join
+from gridlore.llm.common import byte_chunks, column_bytes, cut, fresh, give_back, release, spread_join, sweep
 from gridlore.llm.hashing import BASE, Texts, grams, isin_sorted, mix
 
 WORDS, SIMILARITY = 5, 0.8
@@ -443,6 +443,8 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
     """doc_id, class_id (the smallest doc_id of its class), class_texts (different texts in the class) and class_size (rows)."""
     docs = keyed(docs)
     signed = cut(signatures(docs, bands, rows, common))
+    # The texts by block and the index's hashes are most of the disk.
+    sweep(docs.sparkSession)
     members = cut(signed.select("key", F.explode("bands").alias("band")))
     random = F.xxhash64("band", "key")
     crowded = members.groupBy("band").agg(F.min("key").alias("least"), F.min_by("key", random).alias("random"), F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -469,6 +471,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
         before, found = found, joined(found, more)
         release(before)
     release(open_, more, sets)
+    sweep(docs.sparkSession)
     known = docs.select("doc_id", "key").join(found.select("key", "component"), "key", "left").withColumn("component", component)
     classes = known.groupBy("component").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"), F.count_distinct("key").alias("class_texts"))
     return spread_join(known, classes, "component").select("doc_id", "class_id", "class_size", "class_texts")

@@ -833,3 +833,15 @@ def test_pipeline_stages_on_odd_tables(spark):
                 assert docs.columns == list(corpus_pipeline.COLUMNS)
                 docs = docs.withColumns({"key": F.lit(1), "matches": F.lit("y"), "language": F.lit("z"), "_draw": F.lit(0)})
     assert docs.count() == 0
+
+
+def test_near_duplicates_sweep_after_the_large_shuffles(spark, monkeypatch):
+    """Shuffle files are let go right after the signatures are written, and once more before the caller shuffles the texts."""
+    done = []
+    for name in ("cut", "sweep"):
+        real = getattr(near_dedup, name)
+        monkeypatch.setattr(near_dedup, name, lambda *a, _real=real, _name=name: done.append(_name) or _real(*a))
+    docs = spark.createDataFrame([(1, "a b c d e f g"), (2, "a b c d e f g"), (3, "h i j k l m")], "doc_id long, text string")
+    classes = near_dedup.near_duplicates(docs)
+    assert done[:2] == ["cut", "sweep"] and done[-1] == "sweep"
+    assert {r.doc_id: r.class_id for r in classes.collect()} == {1: 1, 2: 1, 3: 3}
